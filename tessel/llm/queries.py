@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessel.llm import mixing
 from tessel.llm.near_dedup import near_duplicates
 
 
@@ -15,8 +17,16 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(mixing.sizes(_table(spark, sf_dir, "documents")))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op7_hash_threshold_mix": op7_hash_threshold_mix,
     "op10_circulant_minhash": op10_circulant_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_hash_threshold_mix": mixing.ORACLE,
+}
