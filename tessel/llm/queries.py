@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import mixing
+from tessel.llm import mixing, toxicity
+from tessel.llm.line_dedup import line_dedup
 from tessel.llm.near_dedup import near_duplicates
 
 
@@ -17,12 +18,30 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _held_out(doc_id: Column) -> Column:
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
+
+
+def op4_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), held_out=_held_out(F.col("id")))
+    scored = toxicity.score_documents(docs, model)
+    predicted = (F.col("tox_score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"), predicted.alias("predicted"), "offending")
+
+
+def op6_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.sizes(_table(spark, sf_dir, "documents")))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op4_noisy_or_toxicity": op4_noisy_or_toxicity,
+    "op6_winnowed_line_dedup": op6_winnowed_line_dedup,
     "op7_hash_threshold_mix": op7_hash_threshold_mix,
     "op10_circulant_minhash": op10_circulant_minhash,
 }
