@@ -77,7 +77,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None, max_labelled: int = MAX_LABELLED, epochs: int = 60, rate: float = 0.5, decay: float = 1e-6, least: int = 3) -> MilModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None, max_labelled: int = MAX_LABELLED, **how) -> MilModel:
     """Weights from at most ``max_labelled`` documents of either label, those of the least hash of their id."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
     if held_out is not None:
@@ -91,43 +91,49 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id")
     got = rows.select("toxic", "text")
     table = got.mapInArrow(_gather, "toxic int, x binary, sizes binary").toArrow()
-    y = table["toxic"].to_numpy().astype(bool)
+    return fit_arrays(table["toxic"].to_numpy(), table["x"].to_pylist(), table["sizes"].to_pylist(), **how)
+
+
+def fit_arrays(toxic: np.ndarray, x: list[bytes], size: list[bytes], epochs: int = 80, rate: float = 1.0, sparse: float = 1e-4, least: int = 3, prior: float = -11.0) -> MilModel:
+    """Weights from the features and sentence sizes of labelled documents. ``sparse`` draws weights without effect to 0."""
+    y = toxic.astype(bool)
     empty = MilModel(np.zeros(1 << BITS, np.float32), -30.0)
     if y.all() or not y.any():
         return empty
-    order = sorted(range(len(y)), key=lambda i: (bool(y[i]), table["sizes"][i].as_py(), table["x"][i].as_py()[:64]))  # the same sums whatever order the rows came in
+    order = sorted(range(len(y)), key=lambda i: (bool(y[i]), size[i], x[i][:64]))  # the same sums whatever order the rows came in
     y = y[order]
-    xs = [np.frombuffer(table["x"][i].as_py(), np.int32).reshape(1 + len(PREFIXES), -1) for i in order]
-    sizes = [np.frombuffer(table["sizes"][i].as_py(), np.int32) for i in order]
-    del table
+    xs = [np.frombuffer(x[i], np.int32).reshape(1 + len(PREFIXES), -1) for i in order]
+    sizes = [np.frombuffer(size[i], np.int32) for i in order]
     d = 1 << BITS
     df = np.zeros(d, np.int32)
-    for x in xs:
-        u = np.unique(x)
+    for a in xs:
+        u = np.unique(a)
         df[u[u >= 0]] += 1
     # features of fewer documents say nothing and keep the weight 0
     cols, starts, total = [], [], 0
-    for x, size in zip(xs, sizes, strict=True):
-        sent = np.tile(np.repeat(np.arange(len(size)), size), x.shape[0])
-        flat = x.ravel()
+    for a, n in zip(xs, sizes, strict=True):
+        sent = np.tile(np.repeat(np.arange(len(n)), n), a.shape[0])
+        flat = a.ravel()
         keep = flat >= 0
         keep[keep] = df[flat[keep]] >= least
         cols.append((sent[keep] + total, flat[keep]))
         starts.append(total)
-        total += len(size)
+        total += len(n)
     del xs
     sent, feat = (np.concatenate([c[k] for c in cols]) for k in (0, 1))
     doc_of = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
-    w, g2, bias, b2 = np.zeros(d), np.full(d, 1e-8), -6.0, 1e-8
+    w, g2, bias, b2 = np.zeros(d), np.full(d, 1e-8), prior, 1e-8
     for _ in range(epochs):
         z = np.clip(bias + np.bincount(sent, w[feat], total), -35, 35)
         p = 1 / (1 + np.exp(-z))
         s = np.bincount(doc_of, np.logaddexp(0, z), len(y))
         slope = np.where(y, -1 / np.expm1(np.clip(s, 1e-9, 50)), 1.0)
         gz = slope[doc_of] * p / len(y)
-        g = np.bincount(feat, gz[sent], d) + decay * w
+        g = np.bincount(feat, gz[sent], d)
         g2 += g * g
-        w -= rate * g / np.sqrt(g2)
+        step = rate / np.sqrt(g2)
+        w -= step * g
+        w = np.sign(w) * np.maximum(np.abs(w) - step * sparse, 0)
         gb = gz.sum()
         b2 += gb * gb
         bias -= 0.1 * rate * gb / np.sqrt(b2)
