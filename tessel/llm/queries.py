@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import mixing, toxicity
+from tessel.llm.decontaminate import find_leaks
 from tessel.llm.line_dedup import line_dedup
 from tessel.llm.near_dedup import near_duplicates
 
@@ -22,6 +23,10 @@ def _held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def op4_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), held_out=_held_out(F.col("id")))
@@ -40,6 +45,7 @@ def op7_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_latent_decontamination": op1_latent_decontamination,
     "op4_noisy_or_toxicity": op4_noisy_or_toxicity,
     "op6_winnowed_line_dedup": op6_winnowed_line_dedup,
     "op7_hash_threshold_mix": op7_hash_threshold_mix,
