@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessel.llm import mixing, toxicity
 from tessel.llm.decontaminate import find_leaks
 from tessel.llm.line_dedup import line_dedup
@@ -44,7 +45,12 @@ def op7_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_latent_decontamination": op1_latent_decontamination,
     "op4_noisy_or_toxicity": op4_noisy_or_toxicity,
     "op6_winnowed_line_dedup": op6_winnowed_line_dedup,
