@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tessel.llm import mixing, toxicity
 from tessel.llm.decontaminate import find_leaks
+from tessel.llm.licenses import scan_licenses
 from tessel.llm.line_dedup import line_dedup
 from tessel.llm.near_dedup import near_duplicates
+from tessel.llm.token_spans import count_by_line
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_by_line(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +65,8 @@ QUERIES = {
     "op4_noisy_or_toxicity": op4_noisy_or_toxicity,
     "op6_winnowed_line_dedup": op6_winnowed_line_dedup,
     "op7_hash_threshold_mix": op7_hash_threshold_mix,
+    "op8_license_signatures": op8_license_signatures,
+    "op9_token_attribution": op9_token_attribution,
     "op10_circulant_minhash": op10_circulant_minhash,
 }
 
