@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessel.llm import mixing, toxicity
+from tessel.llm import language, mixing, toxicity
 from tessel.llm.decontaminate import find_leaks
 from tessel.llm.licenses import scan_licenses
 from tessel.llm.line_dedup import line_dedup
@@ -38,6 +38,13 @@ def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def op3_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs, held_out=_held_out(F.col("doc_id")))
+    found = language.predict(docs, model)
+    return found.select(F.col("id").alias("doc_id"), _held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op4_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), held_out=_held_out(F.col("id")))
@@ -62,6 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "pipeline": pipeline,
     "op1_latent_decontamination": op1_latent_decontamination,
+    "op3_nearest_centroid_language": op3_nearest_centroid_language,
     "op4_noisy_or_toxicity": op4_noisy_or_toxicity,
     "op6_winnowed_line_dedup": op6_winnowed_line_dedup,
     "op7_hash_threshold_mix": op7_hash_threshold_mix,
