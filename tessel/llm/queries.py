@@ -11,6 +11,7 @@ from tessel.llm.decontaminate import find_leaks
 from tessel.llm.licenses import scan_licenses
 from tessel.llm.line_dedup import line_dedup
 from tessel.llm.near_dedup import near_duplicates
+from tessel.llm.quality import judge
 from tessel.llm.token_spans import count_by_line
 
 
@@ -38,6 +39,10 @@ def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def op2_covariance_determinant_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.fit(docs, held_out=_held_out(F.col("doc_id")))
@@ -69,6 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "pipeline": pipeline,
     "op1_latent_decontamination": op1_latent_decontamination,
+    "op2_covariance_determinant_quality": op2_covariance_determinant_quality,
     "op3_nearest_centroid_language": op3_nearest_centroid_language,
     "op4_noisy_or_toxicity": op4_noisy_or_toxicity,
     "op6_winnowed_line_dedup": op6_winnowed_line_dedup,
