@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tessel.llm import language, mixing, toxicity
 from tessel.llm.decontaminate import find_leaks
+from tessel.llm.html_text import extract
 from tessel.llm.licenses import scan_licenses
 from tessel.llm.line_dedup import line_dedup
 from tessel.llm.near_dedup import near_duplicates
@@ -58,6 +59,10 @@ def op4_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"), predicted.alias("predicted"), "offending")
 
 
+def op5_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op6_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op2_covariance_determinant_quality": op2_covariance_determinant_quality,
     "op3_nearest_centroid_language": op3_nearest_centroid_language,
     "op4_noisy_or_toxicity": op4_noisy_or_toxicity,
+    "op5_crf_main_text": op5_crf_main_text,
     "op6_winnowed_line_dedup": op6_winnowed_line_dedup,
     "op7_hash_threshold_mix": op7_hash_threshold_mix,
     "op8_license_signatures": op8_license_signatures,
