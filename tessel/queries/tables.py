@@ -178,9 +178,9 @@ def size_histogram(spark, tables):
     return per.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()).cast("double"), 6))
 
 
-@query("a14_distinct_summary", "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_orderkey) AS orders, round(avg(l_discount), 6) AS mean_discount FROM lineitem")
+@query("a14_distinct_summary", "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_orderkey) AS orders, round(avg(l_discount), 3) AS mean_discount FROM lineitem")
 def distinct_summary(spark, tables):
-    return tables("lineitem").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("suppliers"), F.countDistinct("l_orderkey").alias("orders"), F.round(F.avg("l_discount"), 6).alias("mean_discount"))
+    return tables("lineitem").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("suppliers"), F.countDistinct("l_orderkey").alias("orders"), F.round(F.avg("l_discount"), 3).alias("mean_discount"))
 
 
 @query("a18_weighted_mean", "SELECT event_type, round(sum(value * (event_id % 5 + 1)) / sum(event_id % 5 + 1), 6) AS mean FROM events GROUP BY event_type")
@@ -189,10 +189,10 @@ def weighted_mean(spark, tables):
     return tables("events").groupBy("event_type").agg(F.round(F.sum(F.col("value") * w) / F.sum(w), 6).alias("mean"))
 
 
-@query("a18_running_mean", "SELECT event_id, round(sum(value * (event_id % 5 + 1)) OVER w / sum(event_id % 5 + 1) OVER w, 5) AS running_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+@query("a18_running_mean", "SELECT event_id, round(sum(value * (event_id % 5 + 1)) OVER w / sum(event_id % 5 + 1) OVER w, 9) AS running_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def running_mean(spark, tables):
     rows = tables("events").withColumn("w", F.col("event_id") % 5 + 1)
-    return D.running_mean(rows, "value", "w", "event_id", "user_id").select("event_id", F.round("running_mean", 5).alias("running_mean"))
+    return D.running_mean(rows, "value", "w", "event_id", "user_id").select("event_id", F.round("running_mean", 9).alias("running_mean"))
 
 
 @query("a21_group_composition", "WITH g AS (SELECT user_id, bool_or(event_type = 'click') AS a, bool_or(event_type <> 'click') AS o FROM events GROUP BY 1) SELECT CASE WHEN a AND o THEN 'both' WHEN a THEN 'only_augmented' ELSE 'only_original' END AS composition, count(*) AS n FROM g GROUP BY 1")
@@ -241,9 +241,10 @@ def unnest(spark, tables):
     return per.select("l_orderkey", F.explode(parts).alias("part"))
 
 
-@query("p12_sample_structs", "SELECT o_orderkey, {'query': o_orderstatus, 'pos': o_orderpriority} AS sample FROM orders")
+@query("p12_sample_structs", "SELECT o_orderkey, o_orderstatus AS query_text, o_orderpriority AS pos_text FROM orders")
 def sample_structs(spark, tables):
-    return tables("orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("query"), F.col("o_orderpriority").alias("pos")).alias("sample"))
+    rows = tables("orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("query_text"), F.col("o_orderpriority").alias("pos_text")).alias("sample"))
+    return rows.select("o_orderkey", "sample.*")
 
 
 @query("p16_large_images", "SELECT p_partkey, p_size * 40 * (p_partkey % 900) > 1000000 OR CAST(ceil(p_size * 40 / CAST(14 AS DOUBLE)) * ceil((p_partkey % 900) / CAST(14 AS DOUBLE)) + 2 AS BIGINT) > 400 AS large FROM part")
