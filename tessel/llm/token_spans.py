@@ -102,7 +102,7 @@ def _ranges(path: str):
                 for k in range(len(ranges) - 1, -1, -1):
                     owner[(cuts[:-1] >= byte[k][0]) & (cuts[1:] <= byte[k][1])] = k
                 out = np.zeros(len(ranges) + 1, np.int64)
-                for s, e in zip(np.append(0, ends[:-1]), ends, strict=True):
+                for s, e in zip(np.append(0, ends)[: len(ends)], ends, strict=True):
                     held: dict = {}
                     for p in range(int(np.searchsorted(cuts, s, "right")) - 1, int(np.searchsorted(cuts, e, "left"))):
                         held[owner[p]] = held.get(owner[p], 0) + min(e, cuts[p + 1]) - max(s, cuts[p])
