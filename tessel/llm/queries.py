@@ -11,6 +11,7 @@ from tessel.llm.decontaminate import find_leaks
 from tessel.llm.html_text import extract
 from tessel.llm.licenses import scan_licenses
 from tessel.llm.line_dedup import line_dedup
+from tessel.llm.near_dedup import ORACLE as NEAR_DEDUP_ORACLE
 from tessel.llm.near_dedup import near_duplicates
 from tessel.llm.quality import judge
 from tessel.llm.token_spans import count_by_line
@@ -92,4 +93,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_hash_threshold_mix": mixing.ORACLE,
+    "op10_circulant_minhash": NEAR_DEDUP_ORACLE,
 }
