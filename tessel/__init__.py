@@ -1,0 +1 @@
+"""Embedding retrieval and training data on Spark DataFrames."""

@@ -1,0 +1 @@
+"""Empty: the workload has no operator on streams."""
