@@ -22,6 +22,7 @@ INVALID_OPENINGS = ("uncertain", "Generate Captions", "Generate Text_new", "Gene
 MAX_CAPTION = 300
 IMAGE_ENDINGS = ("jpg", "jpeg", "png", "bmp", "gif", "webp")
 
+# Fixed value: the pattern of an address.
 URL = r"(?i)^(?:http|ftp)s?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+(?:[A-Z]{2,6}\.?|[A-Z0-9-]{2,}\.?)|localhost|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?::\d+)?(?:/?|[/?]\S+)$"
 
 
