@@ -29,6 +29,8 @@ PREFIXES = (4, 5, 6)
 #: Bound of the sample of labelled documents that the weights are fitted on, for each of the two labels.
 MAX_LABELLED = 3000
 THRESHOLD = 0.7
+#: Documents whose features training holds unfolded at once.
+BLOCK = 250
 _END = np.zeros(256, bool)
 _END[[10, 33, 46, 63]] = True
 
@@ -91,7 +93,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id")
     got = rows.select("toxic", "text")
     table = got.mapInArrow(_gather, "toxic int, x binary, sizes binary").toArrow()
-    return fit_arrays(table["toxic"].to_numpy(), table["x"].to_pylist(), table["sizes"].to_pylist(), **how)
+    y, x, size = table["toxic"].to_numpy(), table["x"].to_pylist(), table["sizes"].to_pylist()
+    del table
+    return fit_arrays(y, x, size, **how)
 
 
 def fit_arrays(toxic: np.ndarray, x: list[bytes], size: list[bytes], epochs: int = 80, rate: float = 1.0, sparse: float = 1e-4, least: int = 3, prior: float = -11.0) -> MilModel:
@@ -102,39 +106,43 @@ def fit_arrays(toxic: np.ndarray, x: list[bytes], size: list[bytes], epochs: int
         return empty
     order = sorted(range(len(y)), key=lambda i: (bool(y[i]), size[i], x[i][:64]))  # the same sums whatever order the rows came in
     y = y[order]
-    xs = [np.frombuffer(x[i], np.int32).reshape(1 + len(PREFIXES), -1) for i in order]
-    sizes = [np.frombuffer(size[i], np.int32) for i in order]
+    x, size = [x[i] for i in order], [size[i] for i in order]
+    width = 1 + len(PREFIXES)
     d = 1 << BITS
     df = np.zeros(d, np.int32)
-    for a in xs:
-        u = np.unique(a)
+    for a in x:
+        u = np.unique(np.frombuffer(a, np.int32))
         df[u[u >= 0]] += 1
-    # features of fewer documents say nothing and keep the weight 0
-    cols, starts, total = [], [], 0
-    for a, n in zip(xs, sizes, strict=True):
-        sent = np.tile(np.repeat(np.arange(len(n)), n), a.shape[0])
-        flat = a.ravel()
-        keep = flat >= 0
-        keep[keep] = df[flat[keep]] >= least
-        cols.append((sent[keep] + total, flat[keep]))
-        starts.append(total)
-        total += len(n)
-    del xs
-    sent, feat = (np.concatenate([c[k] for c in cols]) for k in (0, 1))
-    doc_of = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
+    # blocks of documents, so that what an epoch needs at once is bounded; features of fewer than ``least`` documents
+    # say nothing, keep the weight 0 and are left out
+    blocks = []
+    for lo in range(0, len(y), BLOCK):
+        sent, feat, doc, total = [], [], [], 0
+        for i in range(lo, min(lo + BLOCK, len(y))):
+            n = np.frombuffer(size[i], np.int32)
+            flat = np.frombuffer(x[i], np.int32)
+            keep = flat >= 0
+            keep[keep] = df[flat[keep]] >= least
+            sent.append(np.tile(np.repeat(np.arange(total, total + len(n), dtype=np.int32), n), width)[keep])
+            feat.append(flat[keep])
+            doc.append(np.full(len(n), i - lo, np.int32))
+            total += len(n)
+            x[i] = size[i] = b""
+        blocks.append((np.concatenate(sent), np.concatenate(feat), np.concatenate(doc), y[lo : lo + BLOCK], total))
     w, g2, bias, b2 = np.zeros(d), np.full(d, 1e-8), prior, 1e-8
     for _ in range(epochs):
-        z = np.clip(bias + np.bincount(sent, w[feat], total), -35, 35)
-        p = 1 / (1 + np.exp(-z))
-        s = np.bincount(doc_of, np.logaddexp(0, z), len(y))
-        slope = np.where(y, -1 / np.expm1(np.clip(s, 1e-9, 50)), 1.0)
-        gz = slope[doc_of] * p / len(y)
-        g = np.bincount(feat, gz[sent], d)
+        g, gb = np.zeros(d), 0.0
+        for sent, feat, doc, toxic_, total in blocks:
+            z = np.clip(bias + np.bincount(sent, w[feat], total), -35, 35)
+            s = np.bincount(doc, np.logaddexp(0, z), len(toxic_))
+            slope = np.where(toxic_, -1 / np.expm1(np.clip(s, 1e-9, 50)), 1.0)
+            gz = slope[doc] / (1 + np.exp(-z)) / len(y)
+            g += np.bincount(feat, gz[sent], d)
+            gb += gz.sum()
         g2 += g * g
         step = rate / np.sqrt(g2)
         w -= step * g
         w = np.sign(w) * np.maximum(np.abs(w) - step * sparse, 0)
-        gb = gz.sum()
         b2 += gb * gb
         bias -= 0.1 * rate * gb / np.sqrt(b2)
     return MilModel(w.astype(np.float32), float(bias))
