@@ -29,3 +29,17 @@ def test_leaks_in_a_third_of_all_documents(spark, zipf):
     bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
     got = {(r.id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got == want
+
+
+def test_copies_of_five_thousand_items(spark, zipf):
+    rng, text = zipf
+    items = [text(30) for _ in range(5000)]
+    docs = []
+    for i, x in enumerate(items):
+        words = text(80)
+        at = int(rng.integers(0, 80))
+        docs.append((i, " ".join(words[:at] + x + words[at:])))
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    got = {(r.id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), bench).collect()}
+    assert {(i, i) for i in range(5000)} <= got
+    assert len(got) < 5100
