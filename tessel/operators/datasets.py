@@ -142,7 +142,15 @@ def pack_groups(groups: DataFrame, size: int, order: str = "group_pos", pad: boo
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [r for pdf in batches for r in pdf.itertuples(index=False)]
-        every = [(r.signature, x) for r in rows for x in r.items]
+        # the first items of each signature and their places: enough for any batch, past its own items and those it took
+        heads: dict[str, dict] = {}
+        place = 0
+        for r in rows if pad else ():
+            head = heads.setdefault(r.signature, {})
+            for x in r.items if len(head) < 3 * size else ():
+                head.setdefault(x, place)
+                place += 1
+        others: dict[str, list] = {}
         done: list[tuple[list, str]] = []
         now, sig = [], ""
         for r in rows:
@@ -157,15 +165,24 @@ def pack_groups(groups: DataFrame, size: int, order: str = "group_pos", pad: boo
                 now = []
         if now and not drop_last:
             done.append((now, sig))
+        out: list = []
         for b, (own, sig) in enumerate(done):
             own = own[:size] if pad else own
             more: list = []
             if pad and len(own) < size:
                 used = set(own)
-                pool = [x for s, x in every if s == sig and x not in used] + [x for s, x in every if s != sig and x not in used]
-                pool = list(dict.fromkeys(pool))
+                pool = [x for x in heads[sig] if x not in used]
+                if len(pool) < size - len(own):
+                    if sig not in others:
+                        others[sig] = [x for _, x in sorted((n, x) for s, h in heads.items() if s != sig for x, n in h.items())]
+                    pool = list(dict.fromkeys([*pool, *(x for x in others[sig] if x not in used)]))
                 more = (pool + own * (size // max(1, len(own)) + 1))[: size - len(own)]
-            yield pd.DataFrame({"batch": b, "item": own + more, "padded": [False] * len(own) + [True] * len(more)})
+            out += [(b, x, False) for x in own] + [(b, x, True) for x in more]
+            if len(out) >= 1 << 16:
+                yield pd.DataFrame(out, columns=["batch", "item", "padded"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["batch", "item", "padded"])
 
     ordered = groups.select(order, "signature", "items").repartition(1).sortWithinPartitions(order)
     return ordered.mapInPandas(fold, "batch long, item long, padded boolean")

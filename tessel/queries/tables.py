@@ -102,7 +102,7 @@ def hash_sample(spark, tables):
 
 @query("l3_l4_packed_batches")
 def packed_batches(spark, tables):
-    groups = tables("lineitem").where("l_orderkey <= 2000").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_orderkey") * 10 + F.col("l_linenumber"))).alias("items"))
+    groups = tables("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_orderkey") * 10 + F.col("l_linenumber"))).alias("items"))
     return D.pack_groups(groups.select(F.col("l_orderkey").alias("group_pos"), F.lit("s").alias("signature"), "items"), 8, pad=True)
 
 
