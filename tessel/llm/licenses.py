@@ -78,12 +78,13 @@ LICENCES = (
     ("cc-by-nc-nd", "cc-by-nc-nd-4.0", r"cc[ -]by[ -]nc[ -]nd|creative commons attribution[ -]non ?-?commercial[ -]no ?-?deriv\w*", r"creativecommons\.org/licenses/by-nc-nd/"),
 )
 
-#: (form, priority, confidence, keywords): how licences are named; {n} the name, {s} the SPDX id, {u} the address.
+#: (form, priority, confidence, keywords): how licences are named; {n} the name, {s} the SPDX id, {u} the address. Every match
+#: of a form holds one of its keywords.
 FORMS = (
     (r"spdx-license-identifier:\s*{s}(?:-only|-or-later)?(?![\w.-])", 5, 1.0, ("spdx-license-identifier",)),
     (r"https?://(?:www\.)?{u}[^\s]*", 4, 0.95, ("http",)),
     (r"(?:licen[cs]ed|released|distributed|available|published|provided)(?: to you)? under (?:the )?(?:terms (?:of|and conditions of) )?(?:the )?(?:{n})(?:[ -]licen[cs]e)?(?:,? (?:version|v\.?) ?\d(?:\.\d)?| \d\.\d)?", 3, 0.9, ("under",)),
-    (r"licen[cs]e\s*[:=]\s*[\"']?(?:{n}|{s})(?![\w.])", 3, 0.85, ("license:", "licence:", "license =", "license=", "license :")),
+    (r"licen[cs]e\s*[:=]\s*[\"']?(?:{n}|{s})(?![\w.])", 3, 0.85, ("license", "licence")),
     (r"(?:subject to|governed by|covered by|terms of) (?:the )?(?:terms of )?(?:the )?(?:{n})(?:[ -]licen[cs]e)?", 2, 0.8, ("subject to", "governed by", "covered by", "terms of")),
     (r"(?:the )?(?:{n})[ -]licen[cs]e", 1, 0.7, ("licen",)),
 )

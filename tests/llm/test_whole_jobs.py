@@ -1,8 +1,11 @@
-"""Whole results where a short cut would lose some: widespread leaks, large benchmarks."""
+"""Whole results where a short cut would lose some: widespread leaks, large benchmarks, forms of licences."""
+
+import re
 
 import numpy as np
 import pytest
 
+from tessel.llm import licenses
 from tessel.llm.decontaminate import find_leaks
 
 
@@ -43,3 +46,14 @@ def test_copies_of_five_thousand_items(spark, zipf):
     got = {(r.id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), bench).collect()}
     assert {(i, i) for i in range(5000)} <= got
     assert len(got) < 5100
+
+
+NAMED = ['license = "mit"', 'license     = "mit"', "license\t= mit", "licence = mit", "licence=mit", "licence : isc", "license: zlib", "released under the gpl 3", "spdx-license-identifier: mit", "the isc licence", "https://opensource.org/licenses/mit", "subject to the terms of the mit license"]
+
+
+@pytest.mark.parametrize("text", NAMED)
+def test_keywords_lose_no_license(text):
+    rules = licenses.default_rules()
+    every = tuple(licenses.Rule(r.order, r.label, r.regex, r.priority, r.confidence, tuple(set(text))) for r in rules)
+    assert any(re.search(r.regex, text) for r in rules)
+    assert licenses.detect(text, rules) == licenses.detect(text, every) != []
