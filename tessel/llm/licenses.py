@@ -2,8 +2,10 @@
 
 A rule is a regex with a keyword, a label, a priority and a confidence. An Aho-Corasick automaton finds the keywords in
 the lower-cased text; only rules of a keyword that is there are tried. Detections are then resolved in order of
-priority, length and start: one whose characters lie within those of a detection accepted before is suppressed. The rules come from a table of licences and from forms in which licences are named: full
-names, SPDX tags, headers, grants and addresses.
+priority, length and start: one whose characters lie within those of a detection accepted before is suppressed. The
+rules come from a table of licences and from forms in which licences are named (full names, SPDX tags, headers, grants
+and addresses), and from the sentences by which a licence's text or its standard notice is known. Words may be parted by
+any white space, in sentences also by punctuation and the marks of comments.
 
 Base phrases are found on words, apart from the rules, and their labels are never suppressed.
 
@@ -85,9 +87,51 @@ FORMS = (
     (r"https?://(?:www\.)?{u}[^\s]*", 4, 0.95, ("http",)),
     (r"(?:licen[cs]ed|released|distributed|available|published|provided)(?: to you)? under (?:the )?(?:terms (?:of|and conditions of) )?(?:the )?(?:{n})(?:[ -]licen[cs]e)?(?:,? (?:version|v\.?) ?\d(?:\.\d)?| \d\.\d)?", 3, 0.9, ("under",)),
     (r"licen[cs]e\s*[:=]\s*[\"']?(?:{n}|{s})(?![\w.])", 3, 0.85, ("license", "licence")),
-    (r"(?:subject to|governed by|covered by|terms of) (?:the )?(?:terms of )?(?:the )?(?:{n})(?:[ -]licen[cs]e)?", 2, 0.8, ("subject to", "governed by", "covered by", "terms of")),
+    (r"(?:subject to|governed by|covered by|terms of) (?:the )?(?:terms of )?(?:the )?(?:{n})(?:[ -]licen[cs]e)?", 2, 0.8, ("subject", "governed", "covered", "terms")),
     (r"(?:the )?(?:{n})[ -]licen[cs]e", 1, 0.7, ("licen",)),
 )
+#: The last form for names that have the word licence themselves.
+OWN_WORD = r"(?:the )?(?:{n})(?:[ -]licen[cs]e|(?![\w]|\.\d))"
+
+
+def _said(sentence: str) -> str:
+    """A regex of the sentence's words with anything but words between them."""
+    return r"\W+".join(sentence.split())
+
+
+_MIT = _said("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files")
+_BSD = _said("redistribution and use in source and binary forms")
+_ISC = _said("permission to use copy modify and(?:/or|\\W+or)? distribute this software for any purpose with or without fee is hereby granted")
+_GNU = (
+    ("gpl-1", "general", "1(?:\\.0)?"),
+    ("gpl-2", "general", "2(?:\\.0)?"),
+    ("gpl-3", "general", "3(?:\\.0)?"),
+    ("lgpl-2", "(?:library|lesser)\\W+general", "2(?:\\.0)?"),
+    ("lgpl-2.1", "(?:library|lesser)\\W+general", "2\\.1"),
+    ("lgpl-3", "(?:library|lesser)\\W+general", "3(?:\\.0)?"),
+    ("agpl-3", "affero\\W+general", "3(?:\\.0)?"),
+)
+
+#: (label, regex, priority, confidence, keyword): texts and standard notices. Where a text goes on
+#: from another's, its detection holds the other's and comes first.
+TEXTS = (
+    ("mit", _said("permission is hereby granted free of charge") + r"(?!\W+to\W+any\W+person\W+or\W+organi[sz]ation)", 1, 0.6, "hereby"),
+    ("mit", _MIT + r"[\s\S]{0,600}?" + _said("subject to the following conditions"), 4, 0.95, "hereby"),
+    ("mit-0", _MIT + r"(?:(?!\bsubject\b)[\s\S]){0,500}?" + _said("whom the software is furnished to do so") + r"(?!\W+subject)", 4, 0.95, "hereby"),
+    ("boost-1", _said("permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation covered by this license"), 4, 0.95, "hereby"),
+    ("bsd-4-clause", _BSD + r"[\s\S]{0,1500}?" + _said("all advertising materials mentioning features or use of this software") + r"(?:[\s\S]{0,900}?" + _said("endorse or promote") + ")?", 6, 0.95, "redistribution"),
+    ("bsd-3-clause", _BSD + r"[\s\S]{0,1500}?" + _said("may(?:\\W+not)? be used to endorse or promote"), 5, 0.95, "redistribution"),
+    ("bsd-2-clause", _BSD, 4, 0.85, "redistribution"),
+    ("isc", _ISC + r"\W+provided", 4, 0.95, "hereby"),
+    ("0bsd", _ISC + r"(?!\W+provided)", 4, 0.95, "hereby"),
+    ("postgresql", _said("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"), 4, 0.95, "hereby"),
+    ("zlib", _said("this software is provided as is without any express or implied warranty in no event will the authors be held liable"), 4, 0.95, "liable"),
+    ("unlicense", _said("this is free and unencumbered software released into the public domain"), 4, 0.95, "unencumbered"),
+    ("wtfpl", _said("you just do what the fuck you want to"), 4, 0.95, "fuck"),
+    ("cc0", _said("the person who associated a work with this deed has dedicated the work to the public domain"), 4, 0.95, "deed"),
+    *((label, _said(f"gnu {name} public licen[cs]e") + r"(?:\W+as\W+published\W+by\W+the\W+free\W+software\W+foundation)?(?:\W+either)?\W+(?:version\W+|v\W*)" + number + r"(?![\w]|\.\d)", 1, 0.9, "gnu") for label, name, number in _GNU),
+    *((label, r"version\W+" + number + r"\W+(?:only\W+)?" + _said(f"of the gnu {name} public licen[cs]e"), 1, 0.9, "gnu") for label, name, number in _GNU),
+)
 
 
 @dataclass(frozen=True)
@@ -100,13 +144,37 @@ class Rule:
     keywords: tuple[str, ...]
 
 
+def _alternatives(regex: str) -> list[str]:
+    """The parts of a regex between the bars of its outer level and of a group that it begins with."""
+    if regex.startswith("(?:"):
+        end = regex.index(")")
+        if "|" in regex[:end]:
+            return regex[3:end].split("|")
+    out, depth = [""], 0
+    for c in regex:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def _any_space(regex: str) -> str:
+    """The regex with any white space for a space."""
+    return regex.replace("[ -]", r"[\s-]").replace(" ?", r"\s*").replace(" ", r"\s+")
+
+
 def default_rules() -> tuple[Rule, ...]:
-    """Every licence in every form, in order."""
+    """Every licence in every form, and every text, in order."""
     made = []
     for form, priority, confidence, keys in FORMS:
         for label, spdx, name, address in LICENCES:
-            regex = r"(?<![\w])" + form.replace("{n}", name).replace("{s}", re.escape(spdx)).replace("{u}", address)
-            made.append(Rule(len(made), label, regex, priority, confidence, keys))
+            own = form == FORMS[-1][0] and all(re.search("licen", x) for x in _alternatives(name))
+            regex = (OWN_WORD if own else form).replace("{n}", name).replace("{s}", re.escape(spdx)).replace("{u}", address)
+            made.append(Rule(len(made), label, r"(?<![\w])" + _any_space(regex), priority, confidence, keys))
+    for label, regex, priority, confidence, key in TEXTS:
+        made.append(Rule(len(made), label, r"(?<![\w])" + regex, priority, confidence, (key,)))
     return tuple(made)
 
 

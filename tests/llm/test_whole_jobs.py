@@ -57,3 +57,33 @@ def test_keywords_lose_no_license(text):
     every = tuple(licenses.Rule(r.order, r.label, r.regex, r.priority, r.confidence, tuple(set(text))) for r in rules)
     assert any(re.search(r.regex, text) for r in rules)
     assert licenses.detect(text, rules) == licenses.detect(text, every) != []
+
+
+BSD = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted"
+MIT = 'Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files (the "Software"), to permit persons to whom the Software is furnished to do so'
+KNOWN = [
+    ("terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or", "gpl-2"),
+    ("GNU Lesser General Public License as published by the Free Software Foundation; either\nversion 2.1 of the License", "lgpl-2.1"),
+    ("the GNU Affero General Public License as published by the Free Software Foundation, version 3", "agpl-3"),
+    ("under version 3 of the GNU General Public License", "gpl-3"),
+    ("GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991", "gpl-2"),
+    ("Permission is hereby granted, free of charge", "mit"),
+    (f"{MIT}, subject to\nthe following conditions:", "mit"),
+    (f"{MIT}.", "mit-0"),
+    (BSD, "bsd-2-clause"),
+    (f"{BSD}. Neither the name of X may be used to endorse or promote products", "bsd-3-clause"),
+    (f"{BSD}. All advertising materials mentioning features or use of this software must say so. X may not be used to endorse or promote", "bsd-4-clause"),
+    ("Boost Software License - Version 1.0", "boost-1"),
+    ("SIL Open Font License", "ofl"),
+    ("Apache License\n   Version 2.0, January 2004", "apache-2"),
+    ("released under the MIT\nLicense", "mit"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", "isc"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "0bsd"),
+    ("the Apache License of 2020, a boost in software, licensed by the GNU", None),
+]
+
+
+@pytest.mark.parametrize(("text", "label"), KNOWN)
+def test_texts_and_notices_of_licenses(text, label):
+    got = {x for _, _, x, _ in licenses.detect(text.lower(), licenses.default_rules())}
+    assert got == ({label} if label else set())
