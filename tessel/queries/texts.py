@@ -233,12 +233,12 @@ def pad_tokens(spark, tables):
 
 @query("j13_a27_minhash_clusters")
 def minhash_clusters(spark, tables):
-    return dedup.clusters(tables("documents"), "doc_id", "text", num_perm=128)
+    return dedup.clusters(tables("documents"), "doc_id", "text")
 
 
 @query("w8_cluster_representatives")
 def cluster_representatives(spark, tables):
-    return dedup.representatives(tables("documents"), "doc_id", "text", num_perm=128, compat=False).select("doc_id")
+    return dedup.representatives(tables("documents"), "doc_id", "text", compat=False).select("doc_id")
 
 
 @query("a27_components", """WITH RECURSIVE e AS (SELECT label * 1000 + (vec_id % 7) AS u, label * 1000 + (vec_id % 5) AS v FROM embeddings WHERE vec_id % 11 = 0),

@@ -5,6 +5,7 @@ import pytest
 
 from tessel import catalog
 from tessel.operators import datasets as D
+from tessel.operators import dedup
 
 
 def fold(groups, size):
@@ -45,3 +46,13 @@ def test_packed_batches_hold_all_orders(spark, tmp_path):
     lines.write.parquet(str(tmp_path / "lineitem.parquet"))
     got = catalog.queries()["l3_l4_packed_batches"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == fold([("s", [10 * k + n for n in ns]) for k, ns in orders], 8)
+
+
+def test_near_dedup_takes_all_permutations(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "i j k l m n o p")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = []
+    make = dedup.permutations
+    monkeypatch.setattr(dedup, "permutations", lambda n, seed: asked.append(n) or make(n, seed))
+    assert {tuple(r) for r in catalog.queries()["j13_a27_minhash_clusters"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert {r.doc_id for r in catalog.queries()["w8_cluster_representatives"](spark, str(tmp_path)).collect()} == {1, 3}
+    assert set(asked) == {256}
