@@ -6,8 +6,10 @@ and 6 bytes, which carry over to words not seen before. A document is toxic if a
 scores its sentences, so the sentences that offend are known.
 
 Edge cases. Null and empty texts have no sentence and the score 0. Labels without a document, with a null, or of
-documents held out are not learned from; of several labels of a document the highest counts. Without labels of both
-kinds every score is 0. Other columns of the input are ignored, or kept as they are by ``score_documents``.
+documents held out are not learned from; of several labels of a document the highest counts; a document that is there
+twice is learned from twice. Without labels of both kinds, or with an empty table, every score is below 1e-6. Ties: the
+sample takes equal hashes in the order of their ids. Rows are scored one by one, so that equal texts have equal scores.
+Other columns of the input are ignored, or kept as they are by ``score_documents`` and ``reject``.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,6 +30,8 @@ BITS = 18
 PREFIXES = (4, 5, 6)
 #: Bound of the sample of labelled documents that the weights are fitted on, for each of the two labels.
 MAX_LABELLED = 3000
+#: Bound of the features of either label's documents in that sample; the last one may go beyond it.
+MAX_BYTES = 32 << 20
 THRESHOLD = 0.7
 #: Documents whose features training holds unfolded at once.
 BLOCK = 250
@@ -73,14 +77,16 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(row, np.arange(hi - lo + 1))
             edge = np.append(head, x.shape[1])[at]
             some = [i for i in range(hi - lo) if at[i] < at[i + 1]]
+            rows = pa.array([lo + i for i in some], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo).take(pa.array(some, pa.int64())), pa.array([x[:, edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary()), pa.array([size[at[i] : at[i + 1]].astype(np.int32).tobytes() for i in some], pa.binary())],
-                names=["toxic", "x", "sizes"],
+                [batch.column(0).take(rows), batch.column(2).take(rows), pa.array([x[:, edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary()), pa.array([size[at[i] : at[i + 1]].astype(np.int32).tobytes() for i in some], pa.binary())],
+                names=["toxic", "h", "x", "sizes"],
             )
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None, max_labelled: int = MAX_LABELLED, **how) -> MilModel:
-    """Weights from at most ``max_labelled`` documents of either label, those of the least hash of their id."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES, **how) -> MilModel:
+    """Weights from at most ``max_labelled`` documents of either label, those of the least hash of their id, as far as
+    their features fill ``max_bytes``. The features are made where the texts are; one task trains; the weights come back."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
     if held_out is not None:
         known = known.where(~held_out)
@@ -91,76 +97,91 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         pick = part if pick is None else pick.unionByName(part)
     # at most 2 * max_labelled rows of 12 bytes, whatever the input
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id")
-    got = rows.select("toxic", "text")
-    table = got.mapInArrow(_gather, "toxic int, x binary, sizes binary").toArrow()
-    y, x, size = table["toxic"].to_numpy(), table["x"].to_pylist(), table["sizes"].to_pylist()
-    del table
-    return fit_arrays(y, x, size, **how)
+    made = rows.select("toxic", "text", F.xxhash64("id").alias("h")).mapInArrow(_gather, "toxic int, h long, x binary, sizes binary")
+    before = F.sum(F.length("x")).over(Window.partitionBy("toxic").orderBy("h", "x").rowsBetween(Window.unboundedPreceding, -1))
+    made = made.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < max_bytes)
+    # one order whatever order the rows came in, so that the sums are the same
+    one = made.repartition(1).sortWithinPartitions("toxic", "h", "x").select("toxic", "x", "sizes")
+    row = one.mapInArrow(_train(how), "weights binary, bias double").first()
+    if row is None:  # nothing to learn from
+        return fit_arrays(np.zeros(0), [], [], **how)
+    return MilModel(np.frombuffer(row.weights, np.float32), row.bias)
+
+
+def _train(how: dict):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, x, size = [], [], []
+        for batch in batches:
+            y += batch.column(0).to_pylist()
+            x += batch.column(1).to_pylist()
+            size += batch.column(2).to_pylist()
+        model = fit_arrays(np.array(y), x, size, **how)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
+
+    return of
 
 
 def fit_arrays(toxic: np.ndarray, x: list[bytes], size: list[bytes], epochs: int = 80, rate: float = 1.0, sparse: float = 1e-4, least: int = 3, prior: float = -11.0) -> MilModel:
     """Weights from the features and sentence sizes of labelled documents. ``sparse`` draws weights without effect to 0."""
     y = toxic.astype(bool)
-    empty = MilModel(np.zeros(1 << BITS, np.float32), -30.0)
+    d = 1 << BITS
     if y.all() or not y.any():
-        return empty
-    order = sorted(range(len(y)), key=lambda i: (bool(y[i]), size[i], x[i][:64]))  # the same sums whatever order the rows came in
-    y = y[order]
-    x, size = [x[i] for i in order], [size[i] for i in order]
+        return MilModel(np.zeros(d, np.float32), -30.0)
     width = 1 + len(PREFIXES)
-    d = 1 << BITS
     df = np.zeros(d, np.int32)
     for a in x:
         u = np.unique(np.frombuffer(a, np.int32))
         df[u[u >= 0]] += 1
     # blocks of documents, so that what an epoch needs at once is bounded; features of fewer than ``least`` documents
-    # say nothing, keep the weight 0 and are left out
+    # say nothing and share the place d, whose weight stays 0
+    place = np.append(np.where(df >= least, np.arange(d), d), d).astype(np.int32)
     blocks = []
     for lo in range(0, len(y), BLOCK):
-        sent, feat, doc, total = [], [], [], 0
-        for i in range(lo, min(lo + BLOCK, len(y))):
-            n = np.frombuffer(size[i], np.int32)
-            flat = np.frombuffer(x[i], np.int32)
-            keep = flat >= 0
-            keep[keep] = df[flat[keep]] >= least
-            sent.append(np.tile(np.repeat(np.arange(total, total + len(n), dtype=np.int32), n), width)[keep])
-            feat.append(flat[keep])
-            doc.append(np.full(len(n), i - lo, np.int32))
-            total += len(n)
-            x[i] = size[i] = b""
-        blocks.append((np.concatenate(sent), np.concatenate(feat), np.concatenate(doc), y[lo : lo + BLOCK], total))
-    w, g2, bias, b2 = np.zeros(d), np.full(d, 1e-8), prior, 1e-8
+        hi = min(lo + BLOCK, len(y))
+        sizes = [np.frombuffer(b, np.int32) for b in size[lo:hi]]
+        feat = place[np.concatenate([np.frombuffer(b, np.int32).reshape(width, -1) for b in x[lo:hi]], 1)]
+        x[lo:hi] = size[lo:hi] = [b""] * (hi - lo)
+        words_ = np.concatenate(sizes)
+        blocks.append((feat, words_, np.cumsum(words_) - words_, np.repeat(np.arange(hi - lo), [len(n) for n in sizes]), y[lo:hi]))
+    w, g2, bias, b2 = np.zeros(d + 1), np.full(d + 1, 1e-8), prior, 1e-8
     for _ in range(epochs):
-        g, gb = np.zeros(d), 0.0
-        for sent, feat, doc, toxic_, total in blocks:
-            z = np.clip(bias + np.bincount(sent, w[feat], total), -35, 35)
+        g, gb = np.zeros(d + 1), 0.0
+        for feat, words_, head, doc, toxic_ in blocks:
+            z = np.clip(bias + np.add.reduceat(w[feat].sum(0), head), -35, 35)
             s = np.bincount(doc, np.logaddexp(0, z), len(toxic_))
             slope = np.where(toxic_, -1 / np.expm1(np.clip(s, 1e-9, 50)), 1.0)
             gz = slope[doc] / (1 + np.exp(-z)) / len(y)
-            g += np.bincount(feat, gz[sent], d)
+            g += np.bincount(feat.ravel(), np.tile(np.repeat(gz, words_), width), d + 1)
             gb += gz.sum()
+        g[d] = 0
         g2 += g * g
         step = rate / np.sqrt(g2)
         w -= step * g
         w = np.sign(w) * np.maximum(np.abs(w) - step * sparse, 0)
         b2 += gb * gb
         bias -= 0.1 * rate * gb / np.sqrt(b2)
-    return MilModel(w.astype(np.float32), float(bias))
+    return MilModel(w[:d].astype(np.float32), float(bias))
 
 
-def _scorer(model: MilModel, text: int, schema: pa.Schema, offending: float):
+def _sentences(model: MilModel, column: pa.Array) -> Iterator[tuple]:
+    """(first row, end row, bytes, offsets, document scores, and of each sentence its row, first and last byte, logit)."""
     weights = np.append(model.weights, np.float32(0))  # -1 finds the 0
+    for lo, hi, buf, offs in chunks(column):
+        if (f := features(buf, offs)) is None:
+            yield lo, hi, buf, offs, np.zeros(hi - lo), *[np.zeros(0, np.int64)] * 4
+            continue
+        x, head, row, start, end = f
+        z = np.clip(model.bias + np.add.reduceat(weights[x].sum(0), head), -35, 35).astype(np.float64)
+        yield lo, hi, buf, offs, -np.expm1(-np.bincount(row, np.logaddexp(0, z), hi - lo)), row, start, end, z
 
+
+def _scorer(model: MilModel, text: int, schema: pa.Schema, offending: float):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             score, spans = np.zeros(n), [[] for _ in range(n)]
-            for lo, hi, buf, offs in chunks(batch.column(text)):
-                if (f := features(buf, offs)) is None:
-                    continue
-                x, head, row, start, end = f
-                z = np.clip(model.bias + np.add.reduceat(weights[x].sum(0), head), -35, 35).astype(np.float64)
-                score[lo:hi] = -np.expm1(-np.bincount(row, np.logaddexp(0, z), hi - lo))
+            for lo, hi, buf, offs, scores, row, start, end, z in _sentences(model, batch.column(text)):
+                score[lo:hi] = scores
                 p = 1 / (1 + np.exp(-z))
                 bad = np.flatnonzero(p >= offending)
                 if len(bad):
@@ -175,8 +196,27 @@ def _scorer(model: MilModel, text: int, schema: pa.Schema, offending: float):
     return of
 
 
+def _rejecter(model: MilModel, text: int, threshold: float):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.zeros(batch.num_rows)
+            for lo, hi, _, _, scores, *_ in _sentences(model, batch.column(text)):
+                score[lo:hi] = scores
+            yield batch.filter(pa.array(score < threshold))
+
+    return of
+
+
 def score_documents(docs: DataFrame, model: MilModel, text_col: str = "text", offending: float = 0.5) -> DataFrame:
-    """``docs`` with tox_score and offending: the sentences (start, end in characters, score) that reach ``offending``."""
+    """``docs`` with tox_score and offending: the sentences (start, end in characters, score) that reach ``offending``.
+
+    Columns of ``docs`` that have these names go: they are replaced."""
+    kept = docs.select(*[docs[c] for c in docs.columns if c.lower() not in ("tox_score", "offending")])
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
-    out = T.StructType([*docs.schema.fields, T.StructField("tox_score", T.DoubleType()), T.StructField("offending", T.ArrayType(span))])
-    return docs.mapInArrow(_scorer(model, docs.columns.index(text_col), to_arrow_schema(out), offending), out)
+    out = T.StructType([*kept.schema.fields, T.StructField("tox_score", T.DoubleType()), T.StructField("offending", T.ArrayType(span))])
+    return kept.mapInArrow(_scorer(model, kept.columns.index(text_col), to_arrow_schema(out), offending), out)
+
+
+def reject(docs: DataFrame, model: MilModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, with all their columns as they are."""
+    return docs.mapInArrow(_rejecter(model, docs.columns.index(text_col), threshold), docs.schema)

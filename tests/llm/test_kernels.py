@@ -230,7 +230,7 @@ def test_toxicity_learns_sentences():
         if y[-1]:
             sentences[int(rng.integers(0, len(sentences)))] += f" badword{rng.integers(0, 30)}"
         docs.append(". ".join(sentences) + ".")
-    got = pa.Table.from_batches(list(toxicity._gather(iter([batch(pa.array(y, pa.int32()), pa.array(docs))]))))
+    got = pa.Table.from_batches(list(toxicity._gather(iter([batch(pa.array(y, pa.int32()), pa.array(docs), pa.array(range(len(y)), pa.int64()))]))))
     model = toxicity.fit_arrays(got["toxic"].to_numpy(), got["x"].to_pylist(), got["sizes"].to_pylist())
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     schema = pa.schema([("t", pa.string()), ("s", pa.float64()), ("o", spans)])
