@@ -9,11 +9,12 @@ members are pivots, the one that meets the most others over all bands and one by
 are verified, on the full sets. What is verified is merged to components.
 
 The rest, exactly. Members of buckets that then hold more than one component are compared across components by prefixes:
-with the shingles of a set in one order for all, the rarest first, two sets that reach the threshold share one among the
-first n - ceil(0.75 n) + 1 of either. Copies that differ too much to be linked have as many shingles of their own, and so
-meet nobody there. Those that do meet are grouped, the groups dealt to blocks of bounded size, and each pair of blocks is
-compared in one task by counting shared shingles in an index; only links go out. Blocks of one and the same component
-are not compared. So no pair that shares a bucket stays undecided, unless it is in one component already.
+with the shingles of a set in one order for all, those of one component only and then the rarest first, by exact counts,
+two sets that reach the threshold share one among the first n - ceil(0.75 n) + 1 of either. Copies that differ too much
+to be linked have as many shingles of their own, and so meet nobody there. Those that do meet are grouped, the groups
+dealt to blocks of bounded size, and each pair of blocks is compared in one task by counting shared shingles in an index;
+only links go out. Blocks of one and the same component are not compared. So no pair that shares a bucket stays
+undecided, unless it is in one component already.
 
 With 32 bands of 4 coordinates a pair at the threshold of 0.75 meets in no bucket with a probability of 5e-6.
 
@@ -33,15 +34,13 @@ from pyspark.sql import functions as F
 
 from tessel.llm._text import Words, chunks, fold, mix64, words
 from tessel.operators.graph import connected_components
-from tessel.plans.lineage import cut
+from tessel.plans.lineage import Scratch
 
 BANDS, ROWS = 32, 4
 #: The chance pivot of a bucket is its member of the least id under this constant.
 PIVOT = 0x2545F4914F6CDD1D
 #: Documents, and shingles, that a block holds on average at most when groups are compared exactly.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
-#: Rarity of a shingle is counted by hash in so many cells; each task sends its counts once.
-CELLS = 1 << 16
 #: Members of one pivot that are verified by one task's stretch of rows.
 BLOCK = 256
 
@@ -153,46 +152,39 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, percent: int = 75, size: in
     return dealt.select("a", "b", "text").mapInArrow(_confirm(percent, size), "a long, b long").distinct()
 
 
-def _cells(size: int):
+def _sets(size: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for lo, hi, buf, offs in chunks(batch.column(1)):
-                for s in shingle_sets(words(buf, offs), hi - lo, size):
-                    out += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=CELLS)
-        full = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(out[full])], names=["cell", "m"])
+            for lo, hi, buf, offs in chunks(batch.column(2)):
+                sets = shingle_sets(words(buf, offs), hi - lo, size)
+                keys = pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, sets)]), np.concatenate(sets).astype(np.int64)).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in (0, 1)], pa.array([len(s) for s in sets], pa.int64()), keys], names=["rep", "label", "n", "keys"])
 
     return of
 
 
-def _prefixes(rarity: np.ndarray, percent: int, size: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, buf, offs in chunks(batch.column(1)):
-                sets = shingle_sets(words(buf, offs), hi - lo, size)
-                heads = []
-                for s in sets:
-                    many = len(s) + (-percent * len(s)) // 100 + 1 if len(s) else 0  # n - ceil(share * n) + 1
-                    heads.append(s[np.lexsort((s, rarity[(s >> np.uint64(48)).astype(np.int64)]))[:many]].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in (0, 2)], pa.array([len(s) for s in sets], pa.int64()), pa.array(heads, pa.list_(pa.int64()))], names=["rep", "label", "n", "heads"])
+def _across(rows: DataFrame) -> DataFrame:
+    """(key, df, hub) of the keys of ``rows`` (rep, label, key) that occur under more than one label."""
+    found = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("hub"), F.count("*").alias("df"))
+    return found.where("lo <> hi").select("key", "df", "hub")
 
-    return of
 
+def _met(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(rep, label, n, hub): the documents of ``sets`` (rep, label, n, keys) that share prefix shingles across labels.
 
-def _met(live: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """(rep, label, n, key): the prefix shingles of ``live`` (rep, label) that occur under more than one label."""
-    rows = cut(texts.join(live, texts["id"] == live["rep"]).select("id", "text", "label"))
-    counts = rows.mapInArrow(_cells(size), "cell long, m long").groupBy("cell").agg(F.sum("m").alias("m")).toArrow()  # at most CELLS rows
-    rarity = np.zeros(CELLS, np.int64)
-    rarity[counts["cell"].to_numpy()] = counts["m"].to_numpy()
-    heads = rows.mapInArrow(_prefixes(rarity, percent, size), "rep long, label long, n long, heads array<long>").select("rep", "label", "n", F.explode("heads").alias("key"))
-    mixed = heads.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("hub")).where("lo <> hi").select("key", "hub")
-    return cut(heads.join(mixed, "key").select("rep", "label", "n", "hub").distinct())
+    In the common order of shingles those of one label only come first and then the others, the rarest first. A
+    document has a shared one in its prefix only if nearly ``percent`` of its shingles are shared.
+    """
+    every = sets.select("rep", "label", "n", F.explode("keys").alias("key"))
+    shared = every.join(_across(every).select("key", "df"), "key").groupBy("rep", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))
+    least = F.ceil(F.col("n") * F.lit(percent) / 100).cast("int")
+    heads = shared.where(F.size("shared") >= least).select("rep", "label", "n", F.explode(F.slice("shared", F.lit(1), F.size("shared") - least + 1)).alias("s"))
+    heads = scratch.cut(heads.select("rep", "label", "n", F.col("s.key").alias("key")))
+    return scratch.cut(heads.join(_across(heads).select("key", "hub"), "key").select("rep", "label", "n", "hub").distinct())
 
 
-def _compare(percent: int, size: int):
-    """Rows (pair of blocks, side, id, label, text), a pair's rows in one stretch: one link for each document and label."""
+def _compare(percent: int):
+    """Rows (pair of blocks, same, side, id, label, keys), a pair's rows in one stretch: one link for each document and label."""
 
     def links(docs: list, own: bool) -> list[tuple[int, int]]:
         probe, index = ([x for x in docs if x[0] == side] for side in ((0, 0) if own else (0, 1)))
@@ -220,21 +212,21 @@ def _compare(percent: int, size: int):
         now, docs, own = None, [], False
         for batch in batches:
             pair, same, side, rep, label = (batch.column(k).to_pylist() for k in range(5))
-            for lo, hi, buf, offs in chunks(batch.column(5)):
-                for i, s in enumerate(shingle_sets(words(buf, offs), hi - lo, size), lo):
-                    if pair[i] != now:
-                        yield pack(links(docs, own))
-                        now, docs, own = pair[i], [], same[i]
-                    docs.append((side[i], rep[i], label[i], s))
+            for i in range(batch.num_rows):
+                if pair[i] != now:
+                    yield pack(links(docs, own))
+                    now, docs, own = pair[i], [], same[i]
+                # a copy: what is held must not hold the batch
+                docs.append((side[i], rep[i], label[i], np.sort(batch.column(5)[i].values.to_numpy().view(np.uint64))))
         yield pack(links(docs, own))
 
     return of
 
 
-def _links_across(met: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+def _links_across(met: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Links (a, b) across labels among the documents of ``met`` that hang together by prefix shingles."""
     groups = connected_components(met.select("rep", "hub"), "rep", "hub").withColumnRenamed("component", "g")
-    docs = cut(met.select("rep", "label", "n").distinct().join(groups, F.col("rep") == F.col("node")).select("rep", "label", "n", "g"))
+    docs = scratch.cut(met.select("rep", "label", "n").distinct().join(groups, F.col("rep") == F.col("node")).select("rep", "label", "n", "g"))
     # a label with half a block or more has blocks of its own, which are not compared with each other
     of_label = docs.groupBy("g", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     own = F.when(F.col("c") >= BLOCK_DOCS // 2, F.col("label"))
@@ -248,43 +240,47 @@ def _links_across(met: DataFrame, texts: DataFrame, percent: int, size: int) ->
     other = blocks.select("g", F.col("own").alias("own2"), F.col("block").alias("block2"))
     pairs = blocks.join(other, "g").where("block <= block2 and (own is null or own2 is null or own <> own2)").select("g", F.xxhash64("block", "block2").alias("pair"), "block", "block2", (F.col("block") == F.col("block2")).alias("same"))
     sides = pairs.select("g", "pair", "same", F.lit(0).alias("side"), "block").unionByName(pairs.where("not same").select("g", "pair", "same", F.lit(1).alias("side"), F.col("block2").alias("block")))
-    dealt = placed.join(sides, ["g", "block"]).select("pair", "same", "side", "rep", "label")
-    rows = dealt.join(texts, dealt["rep"] == texts["id"]).select("pair", "same", "side", "rep", "label", "text")
-    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_compare(percent, size), "a long, b long").distinct()
+    dealt = placed.join(sides, ["g", "block"]).select("pair", "same", "side", F.col("rep").alias("r"))
+    rows = dealt.join(sets, dealt["r"] == sets["rep"]).select("pair", "same", "side", "rep", "label", "keys")
+    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_compare(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of ``docs``."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = cut(texts.mapInArrow(_describe(bands, rows, size), "id long, n long, fp_a long, fp_b long, bands array<long>"))
-    reps = base.where("n > 0 and id is not null").groupBy("fp_a", "fp_b", "n").agg(F.min("id").alias("rep"))
-    member = cut(base.join(reps, ["fp_a", "fp_b", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
-    every = member.where("bands is not null").select("rep", "n", F.explode("bands").alias("key"))
-    shared = every.groupBy("key").agg(F.count("*").alias("m"), F.min(F.col("rep").bitwiseXOR(F.lit(PIVOT))).alias("chance")).where("m > 1")
-    buckets = cut(every.join(shared, "key").select("key", "rep", "n", "m", F.col("chance").bitwiseXOR(F.lit(PIVOT)).alias("chance")))
-    met = buckets.groupBy("rep").agg(F.sum("m").alias("meets"))
-    hubs = buckets.join(met, "rep").groupBy("key").agg(F.max(F.struct("meets", F.col("rep"))).alias("hub"))
-    candidates = cut(texts.join(met, texts["id"] == met["rep"], "left_semi"))
-
-    sizes = buckets.select("rep", "n").distinct()
-    stars = buckets.join(hubs, "key").select("rep", "n", F.explode(F.array("chance", "hub.rep")).alias("pivot")).where("rep <> pivot").distinct()
-    close = stars.join(sizes.select(F.col("rep").alias("pivot"), F.col("n").alias("n_p")), "pivot").where(f"100 * least(n, n_p) >= {percent} * greatest(n, n_p)")
-    pairs = cut(close.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-    # same id, different texts: one node, whose classes are joined
-    twin = member.where("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    found = cut(verify_pairs(pairs, candidates, percent, size).unionByName(twin))
-    labels = cut(connected_components(found, "a", "b"))
-
-    named = buckets.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    live = cut(named.join(mixed, "key", "left_semi").select("rep", "label").distinct())
-    if not live.isEmpty():
-        fresh = cut(_links_across(_met(live, candidates, percent, size), candidates, percent, size))
-        if not fresh.isEmpty():
-            labels = connected_components(found.unionByName(fresh), "a", "b")
-    joined = member.join(labels, member["rep"] == labels["node"], "left")
-    component = F.coalesce("component", "rep", "id")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    with Scratch() as scratch:
+        cut = scratch.cut
+        base = cut(texts.mapInArrow(_describe(bands, rows, size), "id long, n long, fp_a long, fp_b long, bands array<long>"))
+        reps = base.where("n > 0 and id is not null").groupBy("fp_a", "fp_b", "n").agg(F.min("id").alias("rep"))
+        member = cut(base.join(reps, ["fp_a", "fp_b", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
+        every = member.where("bands is not null").select("rep", "n", F.explode("bands").alias("key"))
+        shared = every.groupBy("key").agg(F.count("*").alias("m"), F.min(F.col("rep").bitwiseXOR(F.lit(PIVOT))).alias("chance")).where("m > 1")
+        buckets = cut(every.join(shared, "key").select("key", "rep", "n", "m", F.col("chance").bitwiseXOR(F.lit(PIVOT)).alias("chance")))
+        met = buckets.groupBy("rep").agg(F.sum("m").alias("meets"))
+        hubs = buckets.join(met, "rep").groupBy("key").agg(F.max(F.struct("meets", F.col("rep"))).alias("hub"))
+        candidates = cut(texts.join(met, texts["id"] == met["rep"], "left_semi"))
+
+        sizes = buckets.select("rep", "n").distinct()
+        stars = buckets.join(hubs, "key").select("rep", "n", F.explode(F.array("chance", "hub.rep")).alias("pivot")).where("rep <> pivot").distinct()
+        close = stars.join(sizes.select(F.col("rep").alias("pivot"), F.col("n").alias("n_p")), "pivot").where(f"100 * least(n, n_p) >= {percent} * greatest(n, n_p)")
+        pairs = cut(close.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+        # same id, different texts: one node, whose classes are joined
+        twin = member.where("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
+        found = cut(verify_pairs(pairs, candidates, percent, size).unionByName(twin))
+        labels = cut(connected_components(found, "a", "b"))
+
+        named = buckets.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
+        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        live = cut(named.join(mixed, "key", "left_semi").select("rep", "label").distinct())
+        if not live.isEmpty():
+            held = candidates.join(live, candidates["id"] == live["rep"]).select("rep", "label", "text")
+            sets = cut(held.mapInArrow(_sets(size), "rep long, label long, n long, keys array<long>"))
+            fresh = cut(_links_across(_met(sets, scratch, percent), sets, scratch, percent))
+            if not fresh.isEmpty():
+                labels = connected_components(found.unionByName(fresh), "a", "b")
+        joined = member.join(labels, member["rep"] == labels["node"], "left")
+        component = F.coalesce("component", "rep", "id")
+        return scratch.keep(joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
 
 
 ORACLE = r"""

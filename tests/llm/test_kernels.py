@@ -96,21 +96,6 @@ def test_confirm_is_exact():
     assert [(r["a"], r["b"]) for r in got] == [(1, 2)]
 
 
-def test_prefixes_meet_whatever_reaches_the_threshold():
-    rng = np.random.default_rng(3)
-    rarity = rng.integers(0, 5, near_dedup.CELLS)
-    for _ in range(30):
-        n = int(rng.integers(4, 60))
-        words_ = [f"w{rng.integers(0, 9999)}" for _ in range(n + 4)]
-        other = list(words_)
-        other[int(rng.integers(0, n))] = "changed"
-        out = run(near_dedup._prefixes(rarity, 75, 5), pa.array([1, 2], pa.int64()), pa.array([" ".join(words_), " ".join(other)]), pa.array([1, 2], pa.int64()))
-        sets = near_dedup.shingle_sets(words(*next(chunks(pa.array([" ".join(words_), " ".join(other)])))[2:]), 2)
-        both = len(np.intersect1d(*sets))
-        if 100 * both >= 75 * (len(sets[0]) + len(sets[1]) - both):
-            assert set(out[0]["heads"]) & set(out[1]["heads"])
-
-
 def test_windows_hold_enough_words():
     rng = np.random.default_rng(0)
     row = np.sort(rng.integers(0, 5, 60))

@@ -5,8 +5,9 @@ import re
 import numpy as np
 import pytest
 
-from tessel.llm import licenses
+from tessel.llm import licenses, near_dedup
 from tessel.llm.decontaminate import find_leaks
+from tessel.plans.lineage import Scratch
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +49,44 @@ def test_copies_of_five_thousand_items(spark, zipf):
     assert len(got) < 5100
 
 
+def test_prefixes_meet_whatever_reaches_the_threshold(spark):
+    """Links across labels are those of a comparison of all pairs, whatever is common to how many."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 62, 300)
+    rows = []
+    for i in range(120):
+        base = pool[(i % 5) * 40 : (i % 5) * 40 + 60]
+        own = rng.choice(base, int(rng.integers(40, 61)), replace=False)
+        rows.append((i, int(i % 7), sorted({*own.tolist(), *rng.integers(0, 1 << 62, int(rng.integers(0, 12))).tolist()})))
+    sets = spark.createDataFrame([(i, label, len(k), k) for i, label, k in rows], "rep long, label long, n long, keys array<long>")
+    want = set()
+    for i, a, x in rows:
+        for j, b, y in rows:
+            both = len(set(x) & set(y))
+            if a != b and 100 * both >= 75 * (len(x) + len(y) - both):
+                want.add((i, j))
+    with Scratch() as scratch:
+        got = {(r.a, r.b) for r in near_dedup._links_across(near_dedup._met(sets, scratch, 75), sets, scratch, 75).collect()}
+    assert got <= want and want
+    # documents of one label are one component already: a link to each other label is enough
+    own = {(i, 1000 + a) for i, a, _ in rows}
+    assert components(got | own) == components(want | own)
+
+
+def components(links):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(parent)}
+
+
 NAMED = ['license = "mit"', 'license     = "mit"', "license\t= mit", "licence = mit", "licence=mit", "licence : isc", "license: zlib", "released under the gpl 3", "spdx-license-identifier: mit", "the isc licence", "https://opensource.org/licenses/mit", "subject to the terms of the mit license"]
 
 
