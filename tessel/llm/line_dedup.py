@@ -10,8 +10,9 @@ first in the order of (id, hash of the text, line) stays; the lines of every lat
 So a line goes if and only if it lies in a run of at least ``min_words`` words, over whole lines, that occurs before.
 
 Edge cases. Null stays null and an empty text empty. A row without an id is left as it is. Rows of equal id and text are
-one document. A document of which all goes keeps its row, with an empty text. Other columns pass through, also such with
-the names used here; ``text_col`` is replaced, and n_lines, n_deleted are added by ``line_dedup``.
+one document. A document of which all goes keeps its row, with an empty text. An empty table gives an empty one. Other
+columns pass through, whatever their names; ``text_col`` is replaced, and n_lines, n_deleted are added, in place of
+columns of these names, unless ``line_dedup`` is told not to count.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessel.llm._text import SPACED, chunks, mix64, powers, words
-from tessel.plans.lineage import cut
+from tessel.plans.lineage import Scratch, free_name
 
 MIN_WORDS = 20
 
@@ -100,7 +103,7 @@ def _fingerprints(least: int):
     return of
 
 
-def _delete(texts: int, ranges: int, schema: pa.Schema):
+def _delete(texts: int, ranges: int, schema: pa.Schema, counts: bool):
     """Rows with their ranges [(text hash, first, last)] in column ``ranges``: the lines of the ranges go."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +136,7 @@ def _delete(texts: int, ranges: int, schema: pa.Schema):
                                 kept.append(line)
                         out[i] = "\n".join(kept)
             cols = [pa.array(out, schema.field(texts).type) if c == texts else batch.column(c) for c in range(batch.num_columns) if c != ranges]
-            arrays = [*cols, pa.array(n_lines), pa.array(n_deleted)]
+            arrays = [*cols, pa.array(n_lines), pa.array(n_deleted)] if counts else cols
             yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
 
     return of
@@ -142,22 +145,21 @@ def _delete(texts: int, ranges: int, schema: pa.Schema):
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, runs): for each document the windows [(th, s, e)] that occur before; th is the hash of the text they are in."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    prints = cut(texts.mapInArrow(_fingerprints(min_words), f"h long, id long, th long, windows array<{_AT}>"))
-    again = prints.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    around = prints.join(again, "h", "left_semi").select("id", "th", F.inline("windows"))
-    first = around.groupBy("wh").agg(F.min(F.struct("id", "th", "s")).alias("first"), F.count("*").alias("m")).where("m > 1").select("wh", "first")
-    later = around.join(first, "wh").where(F.struct("id", "th", "s") > F.col("first")).select("id", "th", "s", "e").distinct()
-    return later.groupBy("id").agg(F.collect_list(F.struct("th", "s", "e")).alias("runs"))
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the lines of later repeated runs deleted from the text, and n_lines, n_deleted added."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    runs = repeated_runs(docs, id_col, text_col, min_words).select(F.col("id").alias("__id"), F.col("runs").alias("__runs"))
-    rows = docs.join(runs, docs[id_col].cast("long") == F.col("__id"), "left").select(*[docs[c] for c in docs.columns], "__runs")
-    fields = [f for f in docs.schema.fields]
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    out = StructType([*fields, StructField("n_lines", LongType()), StructField("n_deleted", LongType())])
-    return rows.mapInArrow(_delete(docs.columns.index(text_col), len(docs.columns), to_arrow_schema(out)), out)
+    with Scratch() as scratch:
+        prints = scratch.cut(texts.mapInArrow(_fingerprints(min_words), f"h long, id long, th long, windows array<{_AT}>"))
+        again = prints.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+        around = prints.join(again, "h", "left_semi").select("id", "th", F.inline("windows"))
+        first = around.groupBy("wh").agg(F.min(F.struct("id", "th", "s")).alias("first"), F.count("*").alias("m")).where("m > 1").select("wh", "first")
+        later = around.join(first, "wh").where(F.struct("id", "th", "s") > F.col("first")).select("id", "th", "s", "e").distinct()
+        return scratch.keep(later.groupBy("id").agg(F.collect_list(F.struct("th", "s", "e")).alias("runs")))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, counts: bool = True) -> DataFrame:
+    """``docs`` with the lines of later repeated runs deleted from the text, and n_lines, n_deleted added if ``counts``."""
+    own = [c for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_deleted")]
+    key, held = free_name("id", docs), free_name("runs", docs)
+    runs = repeated_runs(docs, id_col, text_col, min_words).select(F.col("id").alias(key), F.col("runs").alias(held))
+    rows = docs.join(runs, docs[id_col].cast("long") == F.col(key), "left").select(*[docs[c] for c in own], held)
+    added = [T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())]
+    out = T.StructType([*[docs.schema[c] for c in own], *(added if counts else [])])
+    return rows.mapInArrow(_delete(own.index(text_col), len(own), to_arrow_schema(out), counts), out)

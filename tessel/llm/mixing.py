@@ -8,7 +8,8 @@ superset of the documents of a smaller one.
 
 Edge cases. A null or empty text has size 0 and adds nothing. A null source is a source of its own, the last. A null id
 has the key of ''. Rows of equal id share a key and are taken alike. A source of size 0 has target 0. An empty table
-gives an empty result. Other columns, also such with the names used here, are kept as they are by ``apply_mix``.
+gives an empty result. Ties: of two cuts that come as near to what is missing the lower one holds. Other columns,
+whatever their names, are kept as they are by ``apply_mix``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.plans.lineage import cut
+from tessel.plans.lineage import cut, free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -102,19 +103,23 @@ def mix(sized: DataFrame, **how) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs`` that the mix takes at least once, with their number of copies in ``mix_copies``.
+    """The rows of ``docs`` that the mix takes at least once, with their number of copies in ``mix_copies``, which
+    replaces a column of that name.
 
     The texts are not shuffled: each row meets only its source's line of the plan.
     """
-    plan = mixing_plan(sizes(docs, id_col, text_col, source_col), **how).select(F.col("source").alias("__of"), F.col("whole").alias("__whole"), F.col("last_key").alias("__last"))
-    joined = docs.join(plan, docs[source_col].eqNullSafe(F.col("__of")))
-    copies = F.col("__whole") + (text_key(docs[id_col]) <= F.col("__last")).cast("long")
-    return joined.select(*[docs[c] for c in docs.columns], copies.alias("mix_copies")).where("mix_copies > 0")
+    of, whole, last, made = (free_name(x, docs) for x in ("of", "whole", "last", "made"))
+    plan = mixing_plan(sizes(docs, id_col, text_col, source_col), **how).select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("last_key").alias(last))
+    joined = docs.join(plan, docs[source_col].eqNullSafe(F.col(of)))
+    copies = F.col(whole) + (text_key(docs[id_col]) <= F.col(last)).cast("long")
+    own = [c for c in docs.columns if c.lower() != "mix_copies"]
+    return joined.select(*[docs[c] for c in own], copies.alias(made)).where(F.col(made) > 0).withColumnRenamed(made, "mix_copies")
 
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size,
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS size,
     CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS key FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS place
