@@ -4,6 +4,11 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 reads it again as the next one's docs. All but the last return the columns of ``documents``. Learned labels come from
 ``labels``, the held-out items from ``benchmark``. SQL cannot express the learned and latent stages, so there is no
 oracle: tests/llm/test_pipeline.py compares the stages with plain Python.
+
+Edge cases, in every stage: columns beyond those of ``documents`` pass through, whatever their names. Rows without an id
+or without a text stay, but where a stage says otherwise. Rows that are equal in all columns are one document, of which
+the near-duplicate stage keeps one row; rows of one id with different texts are versions of one document and go or stay
+together there. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from tessel.llm import mixing, toxicity
 from tessel.llm.decontaminate import find_leaks
 from tessel.llm.line_dedup import line_dedup
 from tessel.llm.near_dedup import near_duplicates
-from tessel.plans.lineage import cut
+from tessel.plans.lineage import Kept, free_name
 
 ORACLE_SQL = None
 
@@ -28,25 +33,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the noisy-or score rejects go. The score needs no shuffle of the texts."""
     held_out = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), held_out=held_out)
-    return toxicity.score_documents(docs, model).where(F.col("tox_score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.reject(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go from the texts; every document stays, and n_chars follows its text."""
-    out = line_dedup(docs)
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = line_dedup(docs, counts=False)
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest id."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    """One document of each near-duplicate group stays, that of the smallest id; of its equal rows one."""
+    key, again = free_name("id", docs), free_name("again", docs)
+    found = near_duplicates(docs)
+    gone = found.where("not kept").select(F.col("doc_id").alias(key))
+    rows = docs.join(gone, docs["doc_id"] == F.col(key), "left_anti")
+    # ids that stay and are there more than once: few, and only their rows are compared
+    twice = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("doc_id").alias(key), F.lit(True).alias(again))
+    if twice.isEmpty():
+        return rows
+    marked = rows.join(twice, rows["doc_id"] == F.col(key), "left").drop(key)
+    one = marked.where(F.col(again)).drop(again).dropDuplicates()
+    return marked.where(F.col(again).isNull()).drop(again).unionByName(one)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark item is found go."""
-    gone = find_leaks(docs, _table(spark, sf_dir, "benchmark")).select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    key = free_name("id", docs)
+    gone = find_leaks(docs, _table(spark, sf_dir, "benchmark")).select(F.col("id").alias(key)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(key), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +80,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``."""
-    docs = _table(spark, sf_dir, "documents")
+    docs, before = _table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        now = Kept(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.drop()
+        docs, before = now.df, now
     return docs
