@@ -16,6 +16,9 @@ from tessel.llm.near_dedup import near_duplicates
 from tessel.llm.quality import judge
 from tessel.llm.token_spans import count_by_line
 
+#: Where the driver has the public vocabulary that op9 counts with.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,7 +29,7 @@ def op8_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_by_line(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return count_by_line(_table(spark, sf_dir, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
 
 
 def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

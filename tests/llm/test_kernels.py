@@ -9,7 +9,9 @@ import pytest
 
 from tessel.llm import decontaminate, html_text, language, licenses, line_dedup, near_dedup, quality, token_spans, toxicity
 from tessel.llm._text import ALNUM, SPACED, chunks, hash_word, words
+from tessel.llm.queries import VOCABULARY
 
+RANKS = token_spans.read_ranks(VOCABULARY)
 TEXTS = [
     "The quick Brown\tfox\nthe quick brown fox\n",
     "",
@@ -156,8 +158,8 @@ def test_token_attribution():
     counts, crossing = token_spans.attribute(np.array([2, 5, 6, 10]), np.array([0, 4, 6, 10]))
     assert counts.tolist() == [2, 1, 1] and crossing == 1  # bytes 2 to 5 lie mostly in the first
     texts = [t for t in TEXTS[:7]]
-    got = run(token_spans._lines(token_spans.VOCABULARY), pa.array(range(7), pa.int64()), pa.array(texts))
-    enc, size = token_spans.encoder(token_spans.VOCABULARY)
+    got = run(token_spans._lines(RANKS), pa.array(range(7), pa.int64()), pa.array(texts))
+    enc, size = token_spans.encoder(RANKS)
     for r, text in zip(got, texts, strict=True):
         ids = enc.encode_ordinary(text or "")
         assert r["n_tokens"] == len(ids) == sum(r["section_tokens"]) and enc.decode(ids) == (text or "")
@@ -171,9 +173,27 @@ def test_token_attribution():
         assert [owners[k] for k in range(r["n_sections"])] == r["section_tokens"]
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 37 + "b c", " " * 40, "\n" * 33 + "x", "it's\u2003\u2003" * 5 + "\t" * 50 + "1 2", " a" + "\r\n" * 30, "x" + " " * 31 + "y" + " " * 32 + "z" + " " * 33])
+def test_long_white_space_is_split_as_the_pattern_does(text):
+    enc, _ = token_spans.encoder(RANKS)
+    assert token_spans.encode(enc, text, 16) == enc.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("of", [" ", "\n", "x", "#", "\u3000", "1"])
+def test_very_long_runs(of):
+    for text in (of * 1_000_000, "a" + of * 1_000_000 + "b"):
+        got = run_lines(text)
+        assert sum(got["section_tokens"]) == got["n_tokens"] > 0
+        assert got["n_sections"] == text.count("\n") + (not text.endswith("\n"))
+
+
+def run_lines(text):
+    return run(token_spans._lines(RANKS), pa.array([1], pa.int64()), pa.array([text]))[0]
+
+
 def test_token_ranges():
     ranges = pa.array([[{"start": 0, "end": 2}, {"start": 2, "end": 99}], [], None])
-    got = run(token_spans._ranges(token_spans.VOCABULARY), pa.array([1, 2, 3], pa.int64()), pa.array(["é a b c", "a b", None]), ranges)
+    got = run(token_spans._ranges(RANKS), pa.array([1, 2, 3], pa.int64()), pa.array(["é a b c", "a b", None]), ranges)
     assert [sum(r["section_tokens"]) + r["n_outside"] == r["n_tokens"] for r in got] == [True] * 3
     assert got[1]["n_outside"] == 2 and got[2]["n_tokens"] == 0
 

@@ -12,6 +12,7 @@ from tessel.llm.html_text import extract
 from tessel.llm.licenses import scan_licenses
 from tessel.llm.line_dedup import line_dedup
 from tessel.llm.near_dedup import near_duplicates
+from tessel.llm.queries import VOCABULARY
 from tessel.llm.token_spans import count_by_line
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, `rows` string"
@@ -189,9 +190,9 @@ def test_language_and_toxicity_without_labels(spark, docs, empty, rows):
 
 def test_scans(docs, empty, rows):
     assert scan_licenses(docs).count() == len(rows) and scan_licenses(empty).count() == 0
-    counted = count_by_line(docs).collect()
+    counted = count_by_line(docs, VOCABULARY).collect()
     assert len(counted) == len(rows) and all(sum(r.section_tokens) == r.n_tokens for r in counted)
-    assert count_by_line(empty).count() == 0
+    assert count_by_line(empty, VOCABULARY).count() == 0
 
 
 def test_extract(spark):
