@@ -9,7 +9,10 @@ the likelihood of labelled pages, with forward-backward sums; decoding by Viterb
 words that sites use, with the label of every block known. ``fit`` takes any pages labelled in the same way.
 
 Edge cases. A null or empty page gives an empty text. Markup that is cut off or not closed is read as far as it goes;
-an unfinished tag at the end is dropped. Other columns are ignored.
+an unfinished tag at the end is dropped. The text of a list to choose from is left out, up to its end or the next block.
+A page of any size and depth is read in time that grows with its length. Ties: of labellings as likely Viterbi takes
+"not content". Every row has its own result, also if rows are equal; an empty table gives an empty one. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -28,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements of HTML by what they do.
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea select option datalist title".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
+CHOICE = frozenset("select datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label data ruby rt rp img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -39,14 +44,34 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _WORD = re.compile(r"[a-z]+")
 
 
+# Elements by which a page is divided.
+SECTIONS = frozenset("nav header footer aside form article main section".split())
+#: Elements inside a line's text: what they hold is part of the block, but their names are no ancestors.
+INNER = INLINE | frozenset("math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder mtable mtr mtd semantics annotation svg g text tspan path rect circle line defs desc object canvas select option optgroup datalist".split())
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    tags: frozenset[str]
+    leaf: str
+    section: str
     marks: frozenset[str]
     linked: int
 
 
+@dataclass(frozen=True)
+class _Open:
+    """An open element, with what holds for all that is in it."""
+
+    tag: str
+    tags: frozenset[str]
+    leaf: str
+    section: str
+    marks: frozenset[str]
+    link: int
+
+
 def _marks(attrs: str) -> tuple[str, ...]:
     found = []
     for name, a, b, c in _ATTR.findall(attrs):
@@ -58,10 +83,17 @@ def _marks(attrs: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page, in order, with decoded and trimmed text; blocks without text are left out."""
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page, in order, with decoded and trimmed text; blocks without text are left out.
+
+    With ``known``, tags and marks that are not among these are left out of the blocks: a bound for what pages of
+    thousands of open elements take.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    none: frozenset[str] = frozenset()
+    root = _Open("", none, "", "", none, 0)
+    stack: list[_Open] = [root]
+    opened: Counter = Counter()
     parts: list[str] = []
     linked = 0
     at, n = 0, len(page)
@@ -70,23 +102,37 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            marks = frozenset(m for tag, ms in stack if tag not in ("html", "body") for m in ms)
-            out.append(Block(text, tuple(tag for tag, _ in stack if tag not in INLINE), marks, min(linked, len(text))))
+            top = stack[-1]
+            out.append(Block(text, top.tags, top.leaf, top.section, top.marks, min(linked, len(text))))
         parts.clear()
         linked = 0
 
     def say(text: str) -> None:
         nonlocal linked
+        if opened["select"] or opened["datalist"]:
+            return
         parts.append(text)
-        if any(tag == "a" for tag, _ in stack[-4:]):
+        if stack[-1].link:
             linked += len(text.strip())
 
+    def push(tag: str, attrs: str) -> None:
+        top = stack[-1]
+        own = [] if tag in ("html", "body") else [m for m in _marks(attrs) if m not in top.marks and (known is None or m in known)]
+        inner = tag in INNER
+        new = not inner and tag not in top.tags and (known is None or tag in known)
+        stack.append(_Open(tag, top.tags | {tag} if new else top.tags, top.leaf if inner else tag, tag if tag in SECTIONS else top.section, top.marks.union(own) if own else top.marks, 4 if tag == "a" else max(0, top.link - 1)))
+        opened[tag] += 1
+
     def close(names: tuple[str, ...], within: tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
+        if not any(opened[x] for x in names):
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in names:
+                for gone in stack[k:]:
+                    opened[gone.tag] -= 1
                 del stack[k:]
                 return
-            if stack[k][0] in within:
+            if stack[k].tag in within:
                 return
 
     while at < n:
@@ -104,39 +150,38 @@ def blocks(page: str) -> list[Block]:
         if ends:  # cut off in the tag
             break
         if m[k - 1]:
-            if tag not in INLINE:
+            if tag not in INNER:
                 flush()
-            if any(t == tag for t, _ in stack):
-                close((tag,), ())
+            close((tag,), ())
             continue
         if tag in RAW:
             if not m[k + 1].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else n
             continue
-        if tag not in INLINE:
+        if tag not in INNER:
+            if tag in BREAKS_P or tag in CLOSES and tag != "option":
+                close(tuple(CHOICE), ())  # not closed: a block ends it
             flush()
             if tag in BREAKS_P:
                 close(("p",), ("div", "td", "th", "section", "article", "aside", "blockquote", "li", "table", "button"))
             if tag in CLOSES and tag != "p":
                 close(CLOSES[tag], ("ul", "ol", "dl", "table"))
         if tag not in VOID and not m[k + 1].endswith("/"):
-            stack.append((tag, _marks(m[k + 1])))
+            push(tag, m[k + 1])
     flush()
     return out
 
 
 def features(page: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
-    has = {tag for b in page for tag in b.path if tag in ("article", "main")}
+    has = {tag for b in page for tag in b.tags if tag in ("article", "main")}
     out, seen_title = [], False
     for b in page:
-        f = [f"t:{t}" for t in set(b.path)] + [f"c:{m}" for m in b.marks]
-        leaf = b.path[-1] if b.path else ""
-        f.append(f"leaf:{leaf}")
-        section = next((t for t in reversed(b.path) if t in ("nav", "header", "footer", "aside", "form", "article", "main", "section")), "")
-        f.append(f"sec:{section}")
-        f.append("inside" if has & set(b.path) else "outside" if has else "nowhere")
+        f = [f"t:{t}" for t in b.tags] + [f"c:{m}" for m in b.marks]
+        f.append(f"leaf:{b.leaf}")
+        f.append(f"sec:{b.section}")
+        f.append("inside" if has & b.tags else "outside" if has else "nowhere")
         size = len(b.text.split())
         f.append(f"n:{min(6, size.bit_length())}")
         share = b.linked / max(1, len(b.text))
@@ -144,7 +189,7 @@ def features(page: list[Block]) -> list[list[str]]:
         f.append("stop" if b.text[-1] in ".!?:\"”’" else "open")
         if "©" in b.text:
             f.append("copyright")
-        seen_title = seen_title or leaf == "h1"
+        seen_title = seen_title or b.leaf == "h1"
         f.append(f"title:{int(seen_title)}")
         out.append(f)
     return out
@@ -156,6 +201,10 @@ class Crf:
     weights: np.ndarray
     chain: np.ndarray
 
+    def known(self) -> frozenset[str]:
+        """The tags and marks that have weights, and those that features are made from."""
+        return frozenset(x[2:] for x in self.index if x[:2] in ("t:", "c:")) | SECTIONS
+
     def scores(self, page: list[Block]) -> np.ndarray:
         return np.array([self.weights[[self.index[x] for x in f if x in self.index]].sum(0) for f in features(page)])
 
@@ -334,10 +383,11 @@ def default_model() -> Crf:
 
 def _extract(model: Crf):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model.known()
         for batch in batches:
             texts, kept = [], []
-            for page in batch.column(2).to_pylist():
-                found = blocks(page or "")
+            for page in batch.column(2):
+                found = blocks(page.as_py() or "", known)
                 labels = model.decode(found)
                 texts.append(" ".join(b.text for b, y in zip(found, labels, strict=True) if y))
                 kept.append(sum(labels))

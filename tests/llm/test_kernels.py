@@ -215,6 +215,40 @@ def test_html_blocks_and_model():
     assert [r["n_chars"] for r in got] == [0, len(got[1]["text"])]
 
 
+HELD = [
+    ("<article><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds.</p></article>", ["Energy E=m holds."]),
+    ("<article><p>before</p><select><option>x<p>after one</p><p>after two</p></article>", ["before", "after one", "after two"]),
+    ("<p>a <select><option>x<option>y</select> b</p>", ["a b"]),
+    ("<div>a <svg><text>b</text></svg> <object>c</object> <canvas>d</canvas>", ["a b c d"]),
+    ("<p>a<textarea>x", ["a"]),
+    ("<p>a<div>b</p>c</div>d", ["a", "b", "c", "d"]),
+    ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", ["a", "b", "c", "d"]),
+    ("a < b &lt; c &amp;amp; d&#x21;", ["a < b < c &amp; d!"]),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), HELD)
+def test_blocks_lose_no_text(page, want):
+    assert [b.text for b in html_text.blocks(page)] == want
+
+
+def test_deep_and_long_pages_in_linear_time():
+    import time
+
+    model = html_text.default_model()
+    known = model.known()
+    for inner in ("<div class=c{i}>w{i} ", "<b id=x{i}>w{i} ", "<p><span>w{i}", "</i></div><t{i}>w{i} "):
+        took = []
+        for size in (4000, 16000):
+            page = "".join(inner.format(i=i) for i in range(size))
+            began = time.process_time()
+            found = html_text.blocks(page, known)
+            model.decode(found)
+            took.append(time.process_time() - began)
+            assert sum(len(b.text.split()) for b in found) == size
+        assert took[1] < 10 * took[0] + 0.5, inner
+
+
 def test_viterbi_is_the_best_labelling():
     rng = np.random.default_rng(0)
     crf = html_text.Crf({"a": 0}, rng.normal(size=(1, 2)), rng.normal(size=(2, 2)))
