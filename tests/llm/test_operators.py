@@ -14,6 +14,7 @@ from tessel.llm.line_dedup import line_dedup
 from tessel.llm.near_dedup import near_duplicates
 from tessel.llm.queries import VOCABULARY
 from tessel.llm.token_spans import count_by_line
+from tessel.plans.lineage import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, `rows` string"
 
@@ -164,10 +165,37 @@ def test_quality(docs, empty, rows):
     assert len(got) == len(rows)
     for r in got:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
-        assert r.kept == (not r.base_failed)  # no group here is large enough for the method
+        assert not (r.kept and r.base_failed) and (r.distance is None) == r.base_failed
+    assert len({(r.kept, r.distance) for r in got if r.id == 0}) == 1  # equal rows are judged alike
     assert quality.judge(empty).count() == 0
 
 
+def concentrate(x, mean, cov, floor, steps=30):
+    for _ in range(steps):
+        d = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov + floor), x - mean)
+        half = x[np.argsort(d, kind="stable")[: -(-len(x) // 2)]]
+        mean, cov = half.mean(0), np.cov(half.T, bias=True)
+    return np.linalg.slogdet(cov + floor)[1], mean, cov
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_least_determinant_against_many_starts(spark, seed):
+    """The half found has about the determinant of the best that 300 random starts find, and the same outliers."""
+    rng = np.random.default_rng(seed)
+    shape = rng.normal(size=(5, 5))
+    x = rng.normal(size=(60, 5)) @ shape
+    x[:18] = rng.normal(size=(18, 5)) * 0.3 + 25 * rng.normal(size=5)  # a tight bunch far off
+    floor = np.diag(np.square(quality.FLOOR))
+    best = min((concentrate(x, s.mean(0), np.cov(s.T, bias=True), floor) for s in (x[rng.choice(60, 8, replace=False)] for _ in range(300))), key=lambda e: e[0])
+    rows = spark.createDataFrame([(("en", "s", False), *map(float, v)) for v in x], "g struct<lang: string, source: string, every: boolean>, v0 double, v1 double, v2 double, v3 double, v4 double")
+    with Scratch() as scratch:
+        got = quality.least_determinant(rows, scratch).first()
+    assert got.logdet <= best[0] + 0.7
+    far = lambda mean, cov: np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov + floor), x - mean)
+    ours, theirs = far(np.array(got["mean"]), np.array(got["cov"]).reshape(5, 5)), far(*best[1:])
+    assert ours[:18].min() > 10 * np.median(ours) and theirs[:18].min() > 10 * np.median(theirs)
+
+
 def test_quality_rejects_an_outlier(spark):
     rng = np.random.default_rng(2)
     rows = [(i, prose(rng, int(rng.integers(40, 200))), "en", "s") for i in range(150)]
