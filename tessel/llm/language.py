@@ -6,21 +6,25 @@ each language, spherical k-means on a bounded sample gives several centroids. Th
 cosine is predicted. The score is the softmax of the languages' best cosines. A text nearer to no centroid than all but a
 small share of the sample of that language was is marked as not accepted.
 
-Edge cases. A null text, or one without a letter, is `und`, score 0, not accepted. Rows of null language or of ids held
-out are not learned from. Without any row to learn from all is `und`. Other columns are ignored.
+Edge cases. A null text, or one without a letter, is `und`, score 0, not accepted. Rows of null language, text or id and
+of ids held out are not learned from; rows of one id are learned from once, and equal texts are predicted alike. Ties: of languages with equal cosines the first by name is predicted. Without any row to learn from, as in an
+empty table, all is `und`. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm._text import LETTERS, LOWER, chunks
+from tessel.plans.lineage import Scratch
 
 BITS = 12
 GRAMS = (1, 2, 3, 4)
@@ -104,9 +108,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, buf, offs in _pieces(batch.column(1)):
+        for lo, hi, buf, offs in _pieces(batch.column(2)):
             x = counts(buf, offs)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([np.minimum(r, 65535).astype(np.uint16).tobytes() for r in x], pa.binary())], names=["lang", "x"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in (0, 1)], pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "h", "x"])
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -123,34 +127,54 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _centroids(idf: np.ndarray, most: int, k: int):
+    """A language's sample to its centroids and the least cosine that is accepted."""
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "x"]).head(most)  # one order whatever order the rows came in
+        x = np.stack([np.frombuffer(v, np.float32) for v in pdf["x"]])
+        x = x[x.sum(1) > 0]
+        if not len(x):
+            return pd.DataFrame({"lang": [], "c": [], "least": []})
+        x = _unit(x * idf)
+        c = _kmeans(x, k)
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "c": [c.tobytes()], "least": [float(np.quantile((x @ c.T).max(1), REJECTED))]})
+
+    return of
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: Column | None = None, per_language: int = MAX_PER_LANGUAGE, centroids: int = CENTROIDS) -> Centroids:
-    """Centroids from the rows with a language that are not held out."""
+    """Centroids from the rows with a language that are not held out.
+
+    A language's sample are the rows whose hash is under a threshold that its number of rows gives, and of these the
+    ``per_language`` of least hash: rows are picked where they are, and a language's task gets no more than a few above
+    its sample. The driver gets the centroids only.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     if held_out is not None:
         rows = rows.where(~held_out)
-    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     table = rows.select("text").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros((1 << BITS) + 1)
     df[table["cell"].to_numpy()] = table["n"].to_numpy()  # cell -1, the total, is the last
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)).astype(np.float32) + np.float32(0.1)
-    # the ids of least hash per language: at most per_language rows each, without the texts
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    pick = rows.select("id", "lang").distinct().withColumn("place", place).where(F.col("place") <= per_language).select(F.col("id").alias("pick"), F.col("lang").alias("as"))
-    sample = rows.join(pick, (F.col("id") == F.col("pick")) & (F.col("lang") == F.col("as"))).select("lang", "text")
-    got = sample.mapInArrow(_vectors, "lang string, x binary").toArrow()
-    names, of, vectors, least = sorted(set(got["lang"].to_pylist())), [], [], []
-    lang = np.array(got["lang"].to_pylist())
-    for i, name in enumerate(names):
-        x = np.stack([np.frombuffer(v.as_py(), np.uint16) for v, ok in zip(got["x"], lang == name, strict=True) if ok]).astype(np.float32)
-        x = x[np.lexsort(x[:, :8].T)]  # one order whatever order the rows came in
-        x = x[x.sum(1) > 0]
-        if not len(x):
-            continue
-        x = _unit(x * idf)
-        c = _kmeans(x, centroids)
+    with Scratch() as scratch:
+        # six standard deviations more than the sample, so that it is full
+        bound = per_language + 6 * math.sqrt(per_language)
+        of_lang = rows.groupBy("lang").agg(F.count("*").alias("c")).select(F.col("lang").alias("as"), (F.lit(bound) / F.col("c")).alias("share"))
+        of_lang = scratch.cut(of_lang)
+        unit = F.pmod("h", F.lit(1 << 40)) / F.lit(float(1 << 40))
+        picked = rows.join(of_lang, F.col("lang") == F.col("as")).where(unit < F.col("share")).select("lang", unit.alias("h"), "text")
+        # one row for each id, however often it is there
+        vectors = picked.mapInArrow(_vectors, "lang string, h double, x binary").groupBy("lang", "h").agg(F.min("x").alias("x"))
+        made = vectors.groupBy("lang").applyInPandas(_centroids(idf, per_language, centroids), "lang string, c binary, least double")
+        got = sorted(made.collect())  # a row for each language: its few centroids
+    names, of, vectors, least = [r.lang for r in got], [], [], []
+    for i, r in enumerate(got):
+        c = np.frombuffer(r.c, np.float32).reshape(-1, 1 << BITS)
         of += [i] * len(c)
         vectors.append(c)
-        least += [float(np.quantile((x @ c.T).max(1), REJECTED))] * len(c)
+        least += [r.least] * len(c)
     return Centroids(names, np.array(of, np.int64), np.concatenate(vectors) if vectors else np.zeros((0, 1 << BITS), np.float32), np.array(least), idf)
 
 
