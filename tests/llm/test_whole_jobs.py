@@ -90,10 +90,43 @@ def components(links):
 NAMED = ['license = "mit"', 'license     = "mit"', "license\t= mit", "licence = mit", "licence=mit", "licence : isc", "license: zlib", "released under the gpl 3", "spdx-license-identifier: mit", "the isc licence", "https://opensource.org/licenses/mit", "subject to the terms of the mit license"]
 
 
+def unfiltered(rules, text):
+    return tuple(licenses.Rule(r.order, r.label, r.regex, r.priority, r.confidence, tuple(set(text))) for r in rules)
+
+
+def test_rules_without_prefilter_and_containment_by_definition():
+    """Random texts of phrases: the detections are those of all regexes, resolved by comparing all with all."""
+    rng = np.random.default_rng(6)
+    rules = licenses.default_rules()
+    parts = [x for x, _ in KNOWN] + NAMED + ["under", "the", "license", "mit", "or", "apache-2.0", "dual-licensed under MIT or Apache-2.0", "GNU", "terms of", "bsd 3-clause license", "cc-by-nc 4.0", "submit", "limit"]
+    for _ in range(60):
+        text = " ".join(rng.choice(parts, int(rng.integers(1, 9)))).lower()
+        found = sorted((-r.priority, m.start() - m.end(), m.start(), r.order, m.end(), k) for k, r in enumerate(rules) for m in re.finditer(r.regex, text))
+        kept = []
+        for _, _, start, _, end, k in found:
+            if not any(a <= start and end <= b for a, b, _ in kept):
+                kept.append((start, end, k))
+        assert licenses.detect(text, rules) == [(a, b, rules[k].label, rules[k].confidence) for a, b, k in sorted(kept)]
+
+
+def test_many_detections_in_time():
+    import time
+
+    text = "licensed under the mit license. apache license 2.0, " * 40_000
+    began = time.process_time()
+    assert len(licenses.detect(text, licenses.default_rules())) >= 80_000
+    assert time.process_time() - began < 20
+
+
+def test_both_of_a_dual_license():
+    got = {x for _, _, x, _ in licenses.detect("dual-licensed under mit or apache-2.0.", licenses.default_rules())}
+    assert got == {"mit", "apache-2"}
+
+
 @pytest.mark.parametrize("text", NAMED)
 def test_keywords_lose_no_license(text):
     rules = licenses.default_rules()
-    every = tuple(licenses.Rule(r.order, r.label, r.regex, r.priority, r.confidence, tuple(set(text))) for r in rules)
+    every = unfiltered(rules, text)
     assert any(re.search(r.regex, text) for r in rules)
     assert licenses.detect(text, rules) == licenses.detect(text, every) != []
 
