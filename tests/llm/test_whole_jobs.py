@@ -49,6 +49,50 @@ def test_copies_of_five_thousand_items(spark, zipf):
     assert len(got) < 5100
 
 
+def brute_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def test_leaks_against_all_passages(spark, zipf):
+    """Every document with a stretch that holds the share of an item in order is found; others are not."""
+    rng, text = zipf
+    items = [text(int(rng.integers(20, 45))) for _ in range(12)]
+    docs = []
+    for i in range(160):
+        words = text(int(rng.integers(30, 160)))
+        if i % 2:
+            item = list(items[i % 12])
+            kind = i % 8
+            if kind == 3:  # words left out
+                item = [w for k, w in enumerate(item) if k % 5 != 1]
+            elif kind == 5:  # words replaced
+                item = [w if k % 4 else "instead" for k, w in enumerate(item)]
+            elif kind == 7:  # words put in between
+                item = [x for k, w in enumerate(item) for x in ([w, "between"] if k % 3 == 0 else [w])]
+            at = int(rng.integers(0, len(words)))
+            words[at:at] = item
+        docs.append((i, words))
+    rows = [(i, " ".join(w)) for i, w in docs]
+    rows.append(rows[1])  # an equal row is the same document
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    found = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    got = {(r.id, r.item_id) for r in found}
+    assert len(got) == len(found)
+    want = set()
+    for i, w in docs:
+        for j, x in enumerate(items):
+            # passages of the item's length and a half
+            if any(brute_lcs(x, w[k : k + len(x) * 3 // 2]) >= 0.7 * len(x) for k in range(0, max(1, len(w) - len(x) // 2), 4)):
+                want.add((i, j))
+    assert len(got & want) >= 0.9 * len(want) and len(want) >= 70
+    assert all(brute_lcs(items[j], dict(docs)[i]) >= 0.5 * len(items[j]) for i, j in got)
+
+
 def test_prefixes_meet_whatever_reaches_the_threshold(spark):
     """Links across labels are those of a comparison of all pairs, whatever is common to how many."""
     rng = np.random.default_rng(3)
