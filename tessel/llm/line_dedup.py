@@ -147,9 +147,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     with Scratch() as scratch:
         prints = scratch.cut(texts.mapInArrow(_fingerprints(min_words), f"h long, id long, th long, windows array<{_AT}>"))
-        again = prints.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-        around = prints.join(again, "h", "left_semi").select("id", "th", F.inline("windows"))
-        first = around.groupBy("wh").agg(F.min(F.struct("id", "th", "s")).alias("first"), F.count("*").alias("m")).where("m > 1").select("wh", "first")
+        # tables of the joins' smaller sides are written first: Spark broadcasts them, or splits the other side's hot keys
+        again = scratch.cut(prints.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
+        around = scratch.cut(prints.join(again, "h", "left_semi").select("id", "th", F.inline("windows")))
+        first = scratch.cut(around.groupBy("wh").agg(F.min(F.struct("id", "th", "s")).alias("first"), F.count("*").alias("m")).where("m > 1").select("wh", "first"))
         later = around.join(first, "wh").where(F.struct("id", "th", "s") > F.col("first")).select("id", "th", "s", "e").distinct()
         return scratch.keep(later.groupBy("id").agg(F.collect_list(F.struct("th", "s", "e")).alias("runs")))
 

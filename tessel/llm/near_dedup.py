@@ -137,13 +137,13 @@ def _confirm(percent: int, size: int):
     return of
 
 
-def verify_pairs(pairs: DataFrame, texts: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
+def verify_pairs(pairs: DataFrame, texts: DataFrame, scratch: Scratch, percent: int = 75, size: int = 5) -> DataFrame:
     """Those (a, b) of ``pairs`` whose full shingle sets reach the threshold. ``texts``: (id, text).
 
     Each text moves once, to its pivots: a pivot with many members is dealt to several stretches, with a copy of its own
     text in front of each.
     """
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = scratch.cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     members = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
     pivots = blocks.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     wanted = members.unionByName(pivots)
@@ -251,13 +251,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with Scratch() as scratch:
         cut = scratch.cut
         base = cut(texts.mapInArrow(_describe(bands, rows, size), "id long, n long, fp_a long, fp_b long, bands array<long>"))
-        reps = base.where("n > 0 and id is not null").groupBy("fp_a", "fp_b", "n").agg(F.min("id").alias("rep"))
-        member = cut(base.join(reps, ["fp_a", "fp_b", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
+        # small tables are written before they are joined: Spark broadcasts them, or splits the hot keys of the other side
+        reps = cut(base.where("n > 0 and id is not null").groupBy("fp_a", "fp_b", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m"))
+        rep = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("rep", "id"))
+        member = cut(base.join(reps, ["fp_a", "fp_b", "n"], "left").withColumn("rep", rep).select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
         every = member.where("bands is not null").select("rep", "n", F.explode("bands").alias("key"))
-        shared = every.groupBy("key").agg(F.count("*").alias("m"), F.min(F.col("rep").bitwiseXOR(F.lit(PIVOT))).alias("chance")).where("m > 1")
+        shared = cut(every.groupBy("key").agg(F.count("*").alias("m"), F.min(F.col("rep").bitwiseXOR(F.lit(PIVOT))).alias("chance")).where("m > 1"))
         buckets = cut(every.join(shared, "key").select("key", "rep", "n", "m", F.col("chance").bitwiseXOR(F.lit(PIVOT)).alias("chance")))
         met = buckets.groupBy("rep").agg(F.sum("m").alias("meets"))
-        hubs = buckets.join(met, "rep").groupBy("key").agg(F.max(F.struct("meets", F.col("rep"))).alias("hub"))
+        hubs = cut(buckets.join(met, "rep").groupBy("key").agg(F.max(F.struct("meets", F.col("rep"))).alias("hub")))
         candidates = cut(texts.join(met, texts["id"] == met["rep"], "left_semi"))
 
         sizes = buckets.select("rep", "n").distinct()
@@ -266,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = cut(close.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
         # same id, different texts: one node, whose classes are joined
         twin = member.where("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-        found = cut(verify_pairs(pairs, candidates, percent, size).unionByName(twin))
+        found = cut(verify_pairs(pairs, candidates, scratch, percent, size).unionByName(twin))
         labels = cut(connected_components(found, "a", "b"))
 
         named = buckets.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
