@@ -2,8 +2,8 @@
 
 Every round replaces each edge by edges to the smallest neighbour, first for larger neighbours and then for smaller
 ones, until all nodes point at the smallest node of their component. No task ever holds a node's neighbourhood: the
-minimum is combined before the shuffle, and the join back has one row per node on its other side, so that a hub's edges
-can be split over tasks.
+minimum is combined before the shuffle, and the join back has one row per node on its other side. That side is dealt
+anew, so that the join is a stage of its own in which adaptive execution can split a hub's edges over tasks.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ def connected_components(edges: DataFrame, src: str | Column = "src", dst: str |
         if before[0] == 0:
             break
         both = kept.df.unionByName(kept.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("m")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).distinct()
+        small = large.join(low.repartition("m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).distinct()
         fresh = Kept(small)
         after = _state(fresh.df)
         kept.drop()
