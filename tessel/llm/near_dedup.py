@@ -11,7 +11,7 @@ are verified, on the full sets. What is verified is merged to components.
 The rest, exactly. Members of buckets that then hold more than one component are compared across components by prefixes:
 with the shingles of a set in one order for all, those of one component only and then the rarest first, by exact counts,
 two sets that reach the threshold share one among the first n - ceil(0.75 n) + 1 of either. Copies that differ too much
-to be linked have as many shingles of their own, and so meet nobody there. Those that do meet are grouped, the groups
+to be linked have as many shingles of their own, and so meet nobody there. Those that share a prefix shingle are a group,
 dealt to blocks of bounded size, and each pair of blocks is compared in one task by counting shared shingles in an index;
 only links go out. Blocks of one and the same component are not compared. So no pair that shares a bucket stays
 undecided, unless it is in one component already.
@@ -170,17 +170,20 @@ def _across(rows: DataFrame) -> DataFrame:
 
 
 def _met(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(rep, label, n, hub): the documents of ``sets`` (rep, label, n, keys) that share prefix shingles across labels.
+    """(rep, label, n, hub): the documents of ``sets`` (rep, label, n, keys) that share prefix shingles across labels, with
+    the least of those that share one: two documents that share one have a hub in common.
 
     In the common order of shingles those of one label only come first and then the others, the rarest first. A
     document has a shared one in its prefix only if nearly ``percent`` of its shingles are shared.
     """
     every = sets.select("rep", "label", "n", F.explode("keys").alias("key"))
-    shared = every.join(_across(every).select("key", "df"), "key").groupBy("rep", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))
+    common = scratch.cut(_across(every).select("key", "df"))
+    shared = every.join(common, "key").groupBy("rep", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))
     least = F.ceil(F.col("n") * F.lit(percent) / 100).cast("int")
     heads = shared.where(F.size("shared") >= least).select("rep", "label", "n", F.explode(F.slice("shared", F.lit(1), F.size("shared") - least + 1)).alias("s"))
     heads = scratch.cut(heads.select("rep", "label", "n", F.col("s.key").alias("key")))
-    return scratch.cut(heads.join(_across(heads).select("key", "hub"), "key").select("rep", "label", "n", "hub").distinct())
+    hubs = scratch.cut(_across(heads).select("key", "hub"))
+    return scratch.cut(heads.join(hubs, "key").select("rep", "label", "n", "hub").distinct())
 
 
 def _compare(percent: int):
@@ -224,15 +227,14 @@ def _compare(percent: int):
 
 
 def _links_across(met: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Links (a, b) across labels among the documents of ``met`` that hang together by prefix shingles."""
-    groups = connected_components(met.select("rep", "hub"), "rep", "hub").withColumnRenamed("component", "g")
-    docs = scratch.cut(met.select("rep", "label", "n").distinct().join(groups, F.col("rep") == F.col("node")).select("rep", "label", "n", "g"))
+    """Links (a, b) across labels among the documents of ``met`` that have a hub in common."""
+    docs = met.withColumnRenamed("hub", "g")
     # a label with half a block or more has blocks of its own, which are not compared with each other
     of_label = docs.groupBy("g", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     own = F.when(F.col("c") >= BLOCK_DOCS // 2, F.col("label"))
-    of_label = of_label.select("g", "label", "c", "s", own.alias("own"))
+    of_label = scratch.cut(of_label.select("g", "label", "c", "s", own.alias("own")))
     many = F.greatest(F.ceil(F.sum("c") / BLOCK_DOCS), F.ceil(F.sum("s") / BLOCK_SHINGLES)).cast("int")
-    of_block = of_label.groupBy("g", "own").agg(many.alias("many"))
+    of_block = scratch.cut(of_label.groupBy("g", "own").agg(many.alias("many")))
     placed = docs.join(of_label.select("g", "label", "own"), ["g", "label"])
     placed = placed.join(of_block.select(F.col("g").alias("g2"), F.col("own").alias("own2"), "many"), (F.col("g") == F.col("g2")) & F.col("own").eqNullSafe(F.col("own2")))
     placed = placed.select("g", "rep", "label", F.xxhash64("g", "own", F.pmod(F.xxhash64("rep"), F.col("many"))).alias("block"))
@@ -245,6 +247,17 @@ def _links_across(met: DataFrame, sets: DataFrame, scratch: Scratch, percent: in
     return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_compare(percent), "a long, b long").distinct()
 
 
+def _joined(labels: DataFrame, fresh: DataFrame, cut) -> DataFrame:
+    """The components (node, component) of before when the links ``fresh`` (a, b) are added: whole components are joined."""
+    named = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    ends = fresh.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    merged = cut(connected_components(ends, "a", "b"))
+    again = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    # nodes that were alone before
+    alone = merged.join(labels.select("node"), "node", "left_anti")
+    return again.unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of ``docs``."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -279,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = cut(held.mapInArrow(_sets(size), "rep long, label long, n long, keys array<long>"))
             fresh = cut(_links_across(_met(sets, scratch, percent), sets, scratch, percent))
             if not fresh.isEmpty():
-                labels = connected_components(found.unionByName(fresh), "a", "b")
+                labels = _joined(labels, fresh, cut)
         joined = member.join(labels, member["rep"] == labels["node"], "left")
         component = F.coalesce("component", "rep", "id")
         return scratch.keep(joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
