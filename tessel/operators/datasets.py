@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.operators.numbering import numbered
+from tessel.plans.lineage import free_name
+
 NO_REFERENCE = "__no_ref__"
 
 
@@ -56,10 +59,13 @@ def composition(rows: DataFrame, ref: str, augmented: str) -> DataFrame:
 def appearance_ids(rows: DataFrame, key: str, pos: str, out: str = "id") -> DataFrame:
     """``rows`` with a dense id for each key, from 0, in the order of first appearance.
 
-    Only the distinct keys are numbered in one sequence; the rows get their number by a join."""
-    first = rows.groupBy(key).agg(F.min(pos).alias("__first"))
-    numbered = first.select(F.col(key).alias("__k"), (F.row_number().over(Window.orderBy("__first")) - 1).alias(out))
-    return rows.join(numbered, rows[key].eqNullSafe(F.col("__k"))).drop("__k")
+    The distinct keys are numbered; the rows get their number by a join."""
+    k, at = free_name("key", rows), free_name("first", rows)
+    first = rows.groupBy(key).agg(F.min(pos).alias(at)).withColumnRenamed(key, k)
+    ids = numbered(first, at, out=free_name("number", rows, first)).drop(at)
+    number = next(c for c in ids.columns if c != k)
+    kept = [c for c in rows.columns if c.lower() != out.lower()]
+    return rows.join(ids, rows[key].eqNullSafe(F.col(k))).select(*[rows[c] for c in kept], F.col(number).alias(out))
 
 
 def interleave_round_robin(sources: dict[str, DataFrame], order: str, stop: str = "first_exhausted") -> DataFrame:
@@ -79,7 +85,7 @@ def interleave_round_robin(sources: dict[str, DataFrame], order: str, stop: str
     for i, s in enumerate(names):
         take = n if i <= end else n - 1  # sources after the one that ends it have had a turn less
         turns = -(-take // sizes[s]) if take else 0
-        rows = sources[s].withColumn("__n", F.row_number().over(Window.orderBy(order)) - 1)
+        rows = numbered(sources[s], order, out="__n")
         rows = rows.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(max(turns - 1, 0))))).withColumn("__n", F.col("__n") + F.col("__t") * sizes[s]).where(F.col("__n") < take)
         rows = rows.withColumn("source", F.lit(s)).withColumn("place", F.col("__n") * len(names) + i).drop("__n", "__t")
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
@@ -103,12 +109,11 @@ def interleave_weighted(sources: dict[str, DataFrame], weights: dict[str, float]
     for edge, s in reversed(edges[:-1]):
         pick = F.when(u < edge, F.lit(s)).otherwise(pick)
     turns = spark.range(total).select(F.col("id").alias("place"), F.floor(F.col("id") / batch).alias("b")).withColumn("source", pick)
-    turns = turns.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("place")) - 1)
     out = None
     for s in names:
         size = max(1, sources[s].count())
-        rows = sources[s].withColumn("__n", F.row_number().over(Window.orderBy(order)) - 1)
-        got = turns.where(F.col("source") == s).join(rows, F.pmod("nth", F.lit(size)) == F.col("__n")).drop("__n", "nth", "b")
+        rows = numbered(sources[s], order, out="__n")
+        got = numbered(turns.where(F.col("source") == s), "place", out="nth").join(rows, F.pmod("nth", F.lit(size)) == F.col("__n")).drop("__n", "nth", "b")
         out = got if out is None else out.unionByName(got, allowMissingColumns=True)
     return out
 
@@ -125,10 +130,16 @@ def sample(rows: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
 
 def shards(rows: DataFrame, order: str, count: int, contiguous: bool = True) -> DataFrame:
     """``rows`` with a shard number: contiguous stretches of ceil(n / count), or by turns."""
-    numbered = rows.withColumn("__p", F.row_number().over(Window.orderBy(order)) - 1)
-    n = rows.agg(F.count("*").alias("__c"))
-    part = F.floor(F.col("__p") / F.ceil(F.col("__c") / count)) if contiguous else F.pmod("__p", F.lit(count))
-    return numbered.join(n).withColumn("shard", part.cast("int")).drop("__p", "__c")
+    at = free_name("place", rows)
+    placed = numbered(rows, order, out=at)
+    part = F.floor(F.col(at) / max(1, -(-placed.count() // count))) if contiguous else F.pmod(at, F.lit(count))
+    return placed.withColumn("shard", part.cast("int")).drop(at)
+
+
+def chunked(rows: DataFrame, order: str, size: int) -> DataFrame:
+    """``rows`` with the number of their chunk of ``size`` consecutive rows."""
+    at = free_name("place", rows)
+    return numbered(rows, order, out=at).withColumn("chunk", F.floor(F.col(at) / size)).drop(at)
 
 
 def pack_groups(groups: DataFrame, size: int, order: str = "group_pos", pad: bool = False, drop_last: bool = False) -> DataFrame:
@@ -199,10 +210,11 @@ def even_selection(rows: DataFrame, group: str, order: str, count: int) -> DataF
     return numbered.where(F.when(m == 1, F.col("__p") == 0).otherwise(hit)).drop("__p", "__n")
 
 
-def percentile_rank_element(values: Column, share: float = 0.95) -> Column:
-    """The element at the rounded place share * (n - 1), halves to even, of the sorted values of a group."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.try_element_at(ordered, F.bround(F.lit(share) * (F.size(ordered) - 1)).cast("int") + 1)
+def percentile_rank_element(values: Column, n: int, share: float = 0.95) -> Column:
+    """The element at the rounded place share * (n - 1), halves to even, of the n sorted whole numbers of a column.
+
+    The aggregate holds a count for each distinct value and not the values: the percentile that falls on the place."""
+    return F.round(F.percentile(values, round(share * (n - 1)) / max(1, n - 1))).cast("long")
 
 
 def best_run(runs: DataFrame, metrics: list[str], step: str) -> DataFrame:

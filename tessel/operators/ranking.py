@@ -39,6 +39,15 @@ def group_ranks(scores: DataFrame, members: DataFrame) -> DataFrame:
     return rows.select("query_id", "candidate_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "candidate_id")).alias("group_rank"))
 
 
+def unordered_pairs(rows: DataFrame, group: str, parts: int = 8) -> DataFrame:
+    """(group, i, j), i < j, of all pairs of ids within a group: the pairs are the result, so that it grows with the square
+    of a group. The right side is dealt to ``parts`` salts and the left sent to each, so that a large group's pairs are
+    made by many tasks."""
+    left = rows.select(group, F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"))
+    right = rows.select(group, F.col("id").alias("j"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("__part"))
+    return left.join(right, [group, "__part"]).where("i < j").select(group, "i", "j")
+
+
 def keep_best(rows: DataFrame, keys: list[str], score: str, arrival: str) -> DataFrame:
     """One row for each key: the largest score, of equal ones the first to arrive; nulls lose."""
     by = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(score), F.asc(arrival))
@@ -85,6 +94,7 @@ def aggregators(eps: float = 1e-12, tau: float = 1.0, powers: tuple[float, ...]
         return geometric if abs(p) < 1e-8 else lambda x: F.pow(F.avg(F.pow(c(x), F.lit(p))), F.lit(1 / p))
 
     def log_sum_exp(x: Column) -> Column:
+        # scores are gathered for each (query, candidate): as many as a query has parts
         values = F.collect_list(x)
         top = F.array_max(values)
         total = F.aggregate(values, F.lit(0.0), lambda s, v: s + F.exp((v - top) / F.lit(tau)))

@@ -1,22 +1,24 @@
-"""Exact similarity search: top-k per query and the rank of a target, without the pair table.
+"""Exact similarity search: top-k per query, the rank of a target, and sums over all candidates, without the pair table.
 
-Candidates stay where they are. A block of queries goes to every task, which multiplies it with its candidates in numpy
-and keeps k per query; what is shuffled is k rows for each query and task. The block's size in bytes bounds what is
-sent: a larger set of queries is taken block by block.
+Queries and candidates are dealt to blocks of bounded bytes by a hash of their ids; each pair of blocks is one group of a
+keyed grid, in which a task multiplies the two in numpy and gives k rows, or one number, for each query. These are merged
+after. Neither side passes the driver, and nothing grows with the product of the two but the work. Groups within which
+all is compared with all (``keys``) have blocks of their own, as many as their number of rows asks for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions.vectors import cosine
 
-BLOCK_BYTES = 64 << 20
+#: Bytes of vectors in a block.
+BLOCK_BYTES = 16 << 20
 DIGITS = 6
 
 
@@ -28,25 +30,67 @@ def pairs(queries: DataFrame, candidates: DataFrame, keep_self: bool = False) ->
     return met.select("query_id", "candidate_id", F.round(cosine(F.col("q"), F.col("c")), DIGITS).alias("similarity"))
 
 
-def _unit(rows) -> np.ndarray:
-    m = np.stack([np.asarray(r, np.float64) for r in rows])
+def score_pairs(named: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, candidate_id, similarity) of the pairs (query_id, candidate_id) that are named."""
+    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    c = candidates.select(F.col("id").alias("candidate_id"), F.col("embedding").alias("c"))
+    met = named.join(q, "query_id").join(c, "candidate_id")
+    return met.select("query_id", "candidate_id", F.round(cosine(F.col("q"), F.col("c")), DIGITS).alias("similarity"))
+
+
+def vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def _blocks(queries: DataFrame, block_bytes: int) -> Iterator[pd.DataFrame]:
-    """The queries in pieces of bounded size, in the order of their ids."""
-    dim = queries.select(F.max(F.size("embedding"))).first()[0]
-    if not dim or dim < 0:
-        return
+def blocked(rows: DataFrame, block: str, other: str, blocks: Column | int, others: Column | int) -> DataFrame:
+    """``rows`` (id, ...) with their own block, and once for every block of the other side."""
+    own = F.pmod(F.xxhash64("id"), blocks if isinstance(blocks, Column) else F.lit(blocks)).cast("int")
+    last = (others if isinstance(others, Column) else F.lit(others)).cast("int") - 1
+    return rows.withColumn(block, own).withColumn(other, F.explode(F.sequence(F.lit(0), last)))
+
+
+def _size(rows: DataFrame) -> tuple[int, int]:
+    """Number of rows and of coordinates."""
+    n, dim = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    return n, max(1, dim or 1)
+
+
+def grid(queries: DataFrame, candidates: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block_bytes: int = BLOCK_BYTES, keys: tuple[str, ...] = ()) -> DataFrame:
+    """What ``kernel`` gives for every pair of blocks of (id, embedding, ...); with ``keys`` only within equal keys."""
+    n, dim = _size(queries)
+    m, _ = _size(candidates)
     rows = max(1, block_bytes // (8 * dim))
-    part: list = []
-    for r in queries.orderBy("id").toLocalIterator():
-        part.append(r.asDict())
-        if len(part) == rows:
-            yield pd.DataFrame(part)
-            part = []
-    if part:
-        yield pd.DataFrame(part)
+    if keys:
+        counts = queries.groupBy(*keys).agg(F.count("*").alias("__n")).join(candidates.groupBy(*keys).agg(F.count("*").alias("__m")), list(keys))
+        blocks = counts.select(*keys, F.ceil(F.col("__n") / rows).cast("int").alias("__nq"), F.ceil(F.col("__m") / rows).cast("int").alias("__nc"))
+        q = blocked(queries.join(blocks, list(keys)), "qb", "cb", F.col("__nq"), F.col("__nc")).drop("__nq", "__nc")
+        c = blocked(candidates.join(blocks, list(keys)), "cb", "qb", F.col("__nc"), F.col("__nq")).drop("__nq", "__nc")
+    else:
+        # as many tasks as there are cores, if the blocks are not tiny then
+        cores = queries.sparkSession.sparkContext.defaultParallelism
+        nq, nc = -(-n // rows) or 1, max(-(-m // rows) or 1, min(cores, -(-m // 256) or 1))
+        q, c = blocked(queries, "qb", "cb", nq, nc), blocked(candidates, "cb", "qb", nc, nq)
+    by = [*keys, "qb", "cb"]
+    # columns of their own on either side, which may come from the same table
+    q, c = (side.select(*[F.col(x).alias(x) for x in side.columns]) for side in (q, c))
+    return q.groupBy(*by).cogroup(c.groupBy(*by)).applyInArrow(kernel, schema)
+
+
+def _known(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("id", "embedding", *more).where("embedding is not null")
+
+
+def _similar(q: pa.Table, c: pa.Table, keep_self: bool) -> np.ndarray:
+    sim = np.round(unit(vectors(q["embedding"])) @ unit(vectors(c["embedding"])).T, DIGITS) + 0.0
+    if not keep_self:
+        sim[q["id"].to_numpy()[:, None] == c["id"].to_numpy()[None, :]] = -np.inf
+    return sim
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, keep_self: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -54,56 +98,116 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, keep_self: bool = F
 
     The query itself is no candidate unless ``keep_self``; k beyond the number of candidates gives all of them.
     """
-    schema = "query_id long, candidate_id long, similarity double"
-    found = None
-    for block in _blocks(queries.select("id", "embedding").where("embedding is not null"), block_bytes):
-        q, ids = _unit(block["embedding"]), block["id"].to_numpy()
-
-        def local(batches: Iterator[pd.DataFrame], q=q, ids=ids) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                cid = pdf["id"].to_numpy()
-                sim = np.round(q @ _unit(pdf["embedding"]).T, DIGITS) + 0.0
-                if not keep_self:
-                    sim[ids[:, None] == cid[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(cid, sim.shape), -sim), axis=1)[:, :k]
-                got = np.take_along_axis(sim, order, 1).ravel()
-                out = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "candidate_id": cid[order].ravel(), "similarity": got})
-                yield out[np.isfinite(got)]
-
-        part = candidates.select("id", "embedding").where("embedding is not null").mapInPandas(local, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return candidates.sparkSession.createDataFrame([], "query_id long, rank int, candidate_id long, similarity double")
+    out = pa.schema([("query_id", pa.int64()), ("candidate_id", pa.int64()), ("similarity", pa.float64())])
+
+    def best(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(q) or not len(c):
+            return out.empty_table()
+        ids, cid = q["id"].to_numpy(), c["id"].to_numpy()
+        order = np.argsort(cid, kind="stable")
+        c, cid = c.take(pa.array(order)), cid[order]
+        sim = _similar(q, c, keep_self)
+        size = min(k, len(cid))
+        # what is at least as similar as the k-th, and of those by similarity and id
+        least = np.partition(sim, len(cid) - size, axis=1)[:, len(cid) - size]
+        row, col = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+        by = np.lexsort((col, -sim[row, col], row))
+        row, col = row[by], col[by]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < size], col[place < size]
+        return pa.Table.from_arrays([pa.array(ids[row]), pa.array(cid[col]), pa.array(sim[row, col])], schema=out)
+
+    found = grid(_known(queries), _known(candidates), best, "query_id long, candidate_id long, similarity double", block_bytes)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "candidate_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "candidate_id", "similarity")
 
 
-def target_rank(queries: DataFrame, candidates: DataFrame, keep_self: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(query_id, target, similarity, rank) for queries (id, embedding, target): 1 + the number of candidates that are
-    more similar than the target. A target that is no candidate has null similarity and rank."""
-    wanted = queries.select("id", "embedding", "target").where("embedding is not null")
+def _own(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``queries`` (id, embedding, target) with the similarity of the target; null where it is no candidate."""
     target = candidates.select(F.col("id").alias("target"), F.col("embedding").alias("t"))
-    scored = wanted.join(target, "target", "left").withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("t")), DIGITS)).drop("t")
-    counts = None
-    for block in _blocks(scored.where("similarity is not null"), block_bytes):
-        q, ids, own = _unit(block["embedding"]), block["id"].to_numpy(), block["similarity"].to_numpy()
-
-        def local(batches: Iterator[pd.DataFrame], q=q, ids=ids, own=own) -> Iterator[pd.DataFrame]:
-            above = np.zeros(len(ids), np.int64)
-            for pdf in batches:
-                if len(pdf):
-                    sim = np.round(q @ _unit(pdf["embedding"]).T, DIGITS) + 0.0
-                    if not keep_self:
-                        sim[ids[:, None] == pdf["id"].to_numpy()[None, :]] = -np.inf
-                    above += (sim > own[:, None]).sum(1)
-            yield pd.DataFrame({"query_id": ids, "above": above})
-
-        part = candidates.select("id", "embedding").where("embedding is not null").mapInPandas(local, "query_id long, above long")
-        counts = part if counts is None else counts.unionByName(part)
-    base = scored.select(F.col("id").alias("query_id"), "target", "similarity")
-    if counts is None:
-        return base.withColumn("rank", F.lit(None).cast("long"))
+    return _known(queries, "target").join(target, "target", "left").withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("t")), DIGITS) + F.lit(0.0)).drop("t")
+
+
+def target_rank(queries: DataFrame, candidates: DataFrame, keep_self: bool = True, by_id: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, target, similarity, rank) for queries (id, embedding, target): 1 + the number of candidates that are
+    more similar than the target, or with ``by_id`` as similar and of a smaller id. A target that is no candidate has null
+    similarity and rank."""
+    out = pa.schema([("query_id", pa.int64()), ("above", pa.int64())])
+
+    def above(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(q) or not len(c):
+            return out.empty_table()
+        sim, own = _similar(q, c, keep_self), q["similarity"].to_numpy()[:, None]
+        more = sim > own
+        if by_id:
+            more |= (sim == own) & (c["id"].to_numpy()[None, :] < q["target"].to_numpy()[:, None])
+        return pa.Table.from_arrays([q["id"].combine_chunks().cast(pa.int64()), pa.array(more.sum(1))], schema=out)
+
+    scored = _own(queries, candidates)
+    counts = grid(scored.where("similarity is not null"), _known(candidates), above, "query_id long, above long", block_bytes)
     ranks = counts.groupBy("query_id").agg((F.sum("above") + 1).alias("rank"))
-    return base.join(ranks, "query_id", "left")
+    return scored.select(F.col("id").alias("query_id"), "target", "similarity").join(ranks, "query_id", "left")
+
+
+def info_nce(queries: DataFrame, candidates: DataFrame, temperature: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, loss) for queries (id, embedding, target) whose target is a candidate: the log of the summed exponentials
+    of all scaled similarities but the query's own, less the target's."""
+    out = pa.schema([("query_id", pa.int64()), ("top", pa.float64()), ("total", pa.float64())])
+
+    def sums(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(q) or not len(c):
+            return out.empty_table()
+        z = _similar(q, c, False) / temperature
+        top = z.max(1)
+        total = np.exp(z - np.where(np.isfinite(top), top, 0)[:, None]).sum(1)
+        return pa.Table.from_arrays([q["id"].combine_chunks().cast(pa.int64()), pa.array(top), pa.array(total)], schema=out)
+
+    scored = _own(queries, candidates).where("similarity is not null and id <> target")
+    parts = grid(scored, _known(candidates), sums, "query_id long, top double, total double", block_bytes).where("total > 0 and top > double('-infinity')")
+    most = parts.groupBy("query_id").agg(F.max("top").alias("most"))
+    total = parts.join(most, "query_id").groupBy("query_id", "most").agg(F.sum(F.col("total") * F.exp(F.col("top") - F.col("most"))).alias("total"))
+    own = scored.select(F.col("id").alias("query_id"), (F.col("similarity") / F.lit(temperature)).alias("own"))
+    return total.join(own, "query_id").select("query_id", (F.log("total") + F.col("most") - F.col("own")).alias("loss"))
+
+
+def max_sim(queries: DataFrame, passages: DataFrame, size: int, digits: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, passage_id, score) of every query with every passage, whose embeddings are flat lists of vectors of
+    ``size``: the sum over a query's vectors of the largest inner product with one of the passage's."""
+    out = pa.schema([("query_id", pa.int64()), ("passage_id", pa.int64()), ("score", pa.float64())])
+
+    def scores(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(q) or not len(c):
+            return out.empty_table()
+        a, b = vectors(q["embedding"]), vectors(c["embedding"])
+        a, b = a.reshape(len(a), -1, size), b.reshape(len(b), -1, size)
+        got = []
+        for x in a:  # a query's vectors with all passages: no more than a block at once
+            got.append((b @ x.T).max(1).sum(1))
+        ids, pid = q["id"].to_numpy(), c["id"].to_numpy()
+        return pa.Table.from_arrays([pa.array(np.repeat(ids, len(pid))), pa.array(np.tile(pid, len(ids))), pa.array(np.round(np.concatenate(got), digits) + 0.0)], schema=out)
+
+    return grid(_known(queries), _known(passages), scores, "query_id long, passage_id long, score double", block_bytes)
+
+
+def triplet_loss(queries: DataFrame, candidates: DataFrame, group: str, margin: float = 0.2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row: number of pairs and mean loss over every anchor (id, embedding, target, group) and every other candidate
+    of its group as the negative. The pairs are summed up in their blocks."""
+    out = pa.schema([("pairs", pa.int64()), ("total", pa.float64())])
+    eps = 1e-6
+
+    def sums(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(q) or not len(c):
+            return out.empty_table()
+        x, y = vectors(q["embedding"]), vectors(c["embedding"])
+        near = np.sqrt(((x - vectors(q["positive"]) + eps) ** 2).sum(1))
+        cid, pairs_, total = c["id"].to_numpy(), 0, 0.0
+        for i, a, d in zip(q["id"].to_numpy(), x, near, strict=True):
+            far = np.sqrt(((a - y + eps) ** 2).sum(1))[cid != i]
+            pairs_ += len(far)
+            total += np.maximum(d - far + margin, 0).sum()
+        return pa.Table.from_arrays([pa.array([pairs_], pa.int64()), pa.array([total], pa.float64())], schema=out)
+
+    positive = candidates.select(F.col("id").alias("target"), F.col("embedding").alias("positive"))
+    anchors = _known(queries, "target", group).join(positive, "target").drop("target")
+    rows = grid(anchors, _known(candidates, group), sums, "pairs long, total double", block_bytes, keys=(group,))
+    return rows.agg(F.sum("pairs").alias("pairs"), F.round(F.sum("total") / F.sum("pairs"), 5).alias("loss"))

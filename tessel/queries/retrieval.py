@@ -89,11 +89,8 @@ z AS (SELECT t.query_id, r.rank FROM t JOIN r ON r.query_id = t.query_id AND r.c
 SELECT count(*) AS n_queries, """ + ", ".join(f"round(avg(CAST(rank <= {k} AS DOUBLE)), 6) AS recall_at_{k}" for k in (1, 5, 10, 50)) + " FROM z")
 def recall(spark, tables):
     e, q, target = _frames(tables)
-    scores = S.pairs(q, e)
-    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "candidate_id")))
-    own = q.select(F.col("id").alias("query_id")).join(target, "query_id")
-    hit = own.join(ranked.withColumnRenamed("candidate_id", "target"), ["query_id", "target"], "left")
-    return R.recall_at(hit, (1, 5, 10, 50))
+    wanted = q.join(target.where("query_id <> target"), q["id"] == target["query_id"]).select("id", "embedding", "target")
+    return R.recall_at(S.target_rank(wanted, e, keep_self=False, by_id=True), (1, 5, 10, 50))
 
 
 @query("a2_group_recall", _BASE + """,
@@ -107,7 +104,7 @@ def group_recall(spark, tables):
     g = e.select("id", "label", F.floor((F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1) / 6).alias("block"))
     other = g.select(F.col("id").alias("candidate_id"), "label", "block")
     members = q.select(F.col("id")).join(g, "id").join(other, ["label", "block"]).select(F.col("id").alias("query_id"), "candidate_id")
-    ranks = R.group_ranks(S.pairs(q, e), members)
+    ranks = R.group_ranks(S.score_pairs(members.where("query_id <> candidate_id"), q, e), members)
     valid = members.join(target, "query_id").where("candidate_id = target").select("query_id", "target")
     hit = valid.join(ranks.withColumnRenamed("candidate_id", "target"), ["query_id", "target"], "left")
     return R.recall_at(hit, (1, 2, 3), "group_rank", "group_recall_at_")
@@ -130,12 +127,10 @@ def group_top3(spark, tables):
 WITH c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 m AS (SELECT vec_id, list_transform([1, 17, 33, 49], lambda i: e[i:i + 15]) AS v FROM c)
 SELECT q.vec_id AS query_id, p.vec_id AS passage_id, round(list_sum(list_transform(q.v, lambda a: list_max(list_transform(p.v, lambda b: list_inner_product(a, b))))), 5) AS score
-FROM m q, m p WHERE q.vec_id % 100 = 0 AND p.vec_id % 5 = 0""")
+FROM m q, m p WHERE q.vec_id % 20 = 0""")
 def max_sim(spark, tables):
     e, _, _ = _frames(tables)
-    m = e.select("id", V.slices(F.col("embedding"), 16, 4).alias("v"))
-    q, p = m.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("a")), m.where("id % 5 = 0").select(F.col("id").alias("passage_id"), F.col("v").alias("b"))
-    return q.join(p).select("query_id", "passage_id", F.round(V.max_sim(F.col("a"), F.col("b")), 5).alias("score"))
+    return S.max_sim(e.where("id % 20 = 0"), e, 16)
 
 
 @query("m1_l2_normalize", "SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))), 5) + 0.0) AS unit FROM embeddings")
@@ -264,29 +259,22 @@ def duplicates(spark, tables):
 SELECT count(*) AS n, round(avg(ln(total) - own / 0.07), 5) AS loss FROM z WHERE own IS NOT NULL""")
 def info_nce(spark, tables):
     e, q, target = _frames(tables)
-    scaled = F.col("similarity") / F.lit(0.07)
-    rows = S.pairs(q, e).join(target, "query_id")
-    per = rows.groupBy("query_id").agg(F.sum(F.exp(scaled)).alias("total"), F.max(F.when(F.col("candidate_id") == F.col("target"), scaled)).alias("own"))
-    return per.where("own is not null").agg(F.count("*").alias("n"), F.round(F.avg(F.log("total") - F.col("own")), 5).alias("loss"))
+    loss = S.info_nce(q.join(target, q["id"] == target["query_id"]).select("id", "embedding", "target"), e, 0.07)
+    return loss.agg(F.count("*").alias("n"), F.round(F.avg("loss"), 5).alias("loss"))
 
 
-@query("j11_a25_triplet_loss", _BASE + """, p AS (SELECT a.vec_id AS i, b.vec_id AS j, a.e AS x, b.e AS y FROM q a JOIN q b ON a.label = b.label AND a.vec_id <> b.vec_id),
+@query("j11_a25_triplet_loss", _BASE + """, p AS (SELECT a.vec_id AS i, b.vec_id AS j, a.e AS x, b.e AS y FROM c a JOIN c b ON a.label = b.label AND a.vec_id <> b.vec_id),
 d AS (SELECT p.i, p.j, sqrt(list_sum(list_transform(list_zip(x, te.e), lambda z: (z[1] - z[2] + 1e-6) * (z[1] - z[2] + 1e-6)))) AS dp, sqrt(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2] + 1e-6) * (z[1] - z[2] + 1e-6)))) AS dn
   FROM p JOIN t ON t.query_id = p.i JOIN c te ON te.vec_id = t.target)
 SELECT count(*) AS pairs, round(avg(greatest(dp - dn + 0.2, 0)), 5) AS loss FROM d""")
 def triplet(spark, tables):
-    e, q, target = _frames(tables)
-    a = q.select(F.col("id").alias("i"), "label", F.col("embedding").alias("x"))
-    b = q.select(F.col("id").alias("j"), "label", F.col("embedding").alias("y"))
-    p = a.join(b, "label").where("i <> j").join(target, F.col("i") == F.col("query_id")).join(e.select(F.col("id").alias("target"), F.col("embedding").alias("z")), "target")
-    loss = F.greatest(V.pairwise_distance(F.col("x"), F.col("z")) - V.pairwise_distance(F.col("x"), F.col("y")) + F.lit(0.2), F.lit(0.0))
-    return p.agg(F.count("*").alias("pairs"), F.round(F.avg(loss), 5).alias("loss"))
+    e, _, target = _frames(tables)
+    return S.triplet_loss(e.join(target, e["id"] == target["query_id"]).select("id", "embedding", "target", "label"), e, "label")
 
 
-@query("j12_unordered_pairs", "SELECT a.label, a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 = 0")
+@query("j12_unordered_pairs", "SELECT a.label, a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def unordered_pairs(spark, tables):
-    _, q, _ = _frames(tables)
-    return q.select("label", F.col("id").alias("i")).join(q.select("label", F.col("id").alias("j")), "label").where("i < j")
+    return R.unordered_pairs(tables("embeddings").select("label", F.col("vec_id").alias("id")), "label")
 
 
 @query("j6_three_way_runs", _BASE + """, a AS (SELECT query_id, arg_min(candidate_id, rank) AS c FROM top GROUP BY 1), b AS (SELECT query_id, candidate_id AS c FROM top WHERE rank = 2), d AS (SELECT query_id, candidate_id AS c FROM top WHERE rank = 3 AND query_id % 20 = 0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessel.functions import geometry as G
 from tessel.operators import datasets as D
 from tessel.operators import ranking as R
+from tessel.operators.numbering import numbered
 from tessel.queries import query
 
 
@@ -46,7 +47,7 @@ def allow_list(spark, tables):
 
 @query("j4_position_lookup", "SELECT doc_id, coalesce(p, -1) AS position FROM documents LEFT JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM labels) USING (doc_id)")
 def position_lookup(spark, tables):
-    at = tables("labels").select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("p"))
+    at = numbered(tables("labels").select("doc_id"), "doc_id", out="p")
     return tables("documents").select("doc_id").join(at, "doc_id", "left").select("doc_id", F.coalesce("p", F.lit(-1)).alias("position"))
 
 
@@ -118,7 +119,7 @@ def round_robin_shards(spark, tables):
 
 @query("l8_chunks", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 64 AS chunk FROM orders")
 def chunks(spark, tables):
-    return tables("orders").select("o_orderkey", F.floor((F.row_number().over(Window.orderBy("o_orderkey")) - 1) / 64).alias("chunk"))
+    return D.chunked(tables("orders").select("o_orderkey"), "o_orderkey", 64)
 
 
 @query("l9_largest", "SELECT p_partkey, CAST(ceil((p_size * 37) / CAST(14 AS DOUBLE)) * ceil((p_partkey % 900) / CAST(14 AS DOUBLE)) + 2 AS BIGINT) AS tokens FROM part ORDER BY tokens DESC, p_partkey LIMIT 10")
@@ -323,8 +324,8 @@ def optimal_bands(spark, tables):
 
 @query("j8_zip_by_position", "SELECT a.o_orderkey, b.c_custkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) a JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer) b USING (n)")
 def zip_by_position(spark, tables):
-    a = tables("orders").select("o_orderkey", F.row_number().over(Window.orderBy("o_orderkey")).alias("n"))
-    return a.join(tables("customer").select("c_custkey", F.row_number().over(Window.orderBy("c_custkey")).alias("n")), "n").select("o_orderkey", "c_custkey")
+    a = numbered(tables("orders").select("o_orderkey"), "o_orderkey", out="n")
+    return a.join(numbered(tables("customer").select("c_custkey"), "c_custkey", out="n"), "n").select("o_orderkey", "c_custkey")
 
 
 @query("u2_accumulated_rounds", "SELECT l_linenumber AS round, sum(count(*)) OVER (ORDER BY l_linenumber)::BIGINT AS n FROM lineitem GROUP BY 1")

@@ -8,6 +8,7 @@ from tessel.functions import parsing as P
 from tessel.functions import text as X
 from tessel.operators import datasets as D
 from tessel.operators import dedup
+from tessel.operators.numbering import numbered
 from tessel.queries import query
 
 
@@ -73,7 +74,8 @@ SELECT count(*) AS n, round(avg(c), 6) AS mean_chars, median(c) AS median_chars,
 round(avg(w), 6) AS mean_words, list_sort(list(w))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1] AS p95_words, count(DISTINCT source) AS sources, count(*) - count(DISTINCT text) AS duplicate_texts FROM d""")
 def corpus_statistics(spark, tables):
     d = tables("documents").select("source", "text", F.length("text").cast("long").alias("c"), F.size(F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+")).cast("long").alias("w"))
-    return d.agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean_chars"), F.median("c").alias("median_chars"), D.percentile_rank_element(F.col("c")).alias("p95_chars"), F.round(F.avg("w"), 6).alias("mean_words"), D.percentile_rank_element(F.col("w")).alias("p95_words"), F.countDistinct("source").alias("sources"), (F.count("*") - F.countDistinct("text")).alias("duplicate_texts"))
+    n = tables("documents").count()
+    return d.agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean_chars"), F.median("c").alias("median_chars"), D.percentile_rank_element(F.col("c"), n).alias("p95_chars"), F.round(F.avg("w"), 6).alias("mean_words"), D.percentile_rank_element(F.col("w"), n).alias("p95_words"), F.countDistinct("source").alias("sources"), (F.count("*") - F.countDistinct("text")).alias("duplicate_texts"))
 
 
 @query("f13_document_text", "SELECT d.doc_id, md5(trim(source || ' ' || text)) AS digest FROM documents d")
@@ -86,11 +88,19 @@ def url_predicate(spark, tables):
     return tables("pages").select("page_id", X.is_url(F.col("url")).alias("is_url"))
 
 
-@query("p2_full_path", "SELECT page_id, '/data/root/' || regexp_replace(regexp_replace(url, '^https?://', ''), '/+$', '') AS path FROM pages WHERE url NOT LIKE '%..%' AND regexp_replace(url, '^https?://', '') NOT LIKE '%//%'")
+def _stepped(path: str) -> str:
+    """SQL that takes doubled slashes, /./ and steps up (up to six) out of a path."""
+    path = f"regexp_replace(regexp_replace({path}, '/+', '/', 'g'), '(/\\.)+(/|$)', '\\2', 'g')"
+    for _ in range(6):
+        path = f"regexp_replace({path}, '/[^/]+/\\.\\.(/|$)', '\\1')"
+    return f"regexp_replace({path}, '(.)/+$', '\\1')"
+
+
+@query("p2_full_path", f"SELECT page_id, {_stepped("'/data/root/' || regexp_replace(url, '^https?://', '') || CASE page_id % 4 WHEN 0 THEN '/x/../y' WHEN 1 THEN '//z/./' WHEN 2 THEN '/a/../../b' ELSE '' END")} AS path FROM pages")
 def full_path(spark, tables):
-    bare = F.regexp_replace("url", "^https?://", "")
-    rows = tables("pages").where(~F.col("url").like("%..%") & ~bare.like("%//%"))
-    return rows.select("page_id", X.full_path(F.concat(F.lit(" ./"), bare), "/data/root/").alias("path"))
+    k = F.col("page_id") % 4
+    tail = F.when(k == 0, "/x/../y").when(k == 1, "//z/./").when(k == 2, "/a/../../b").otherwise("")
+    return tables("pages").select("page_id", X.full_path(F.concat(F.lit(" ./"), F.regexp_replace("url", "^https?://", ""), tail), "/data/root/").alias("path"))
 
 
 @query("p4_image_predicate", "SELECT page_id, regexp_matches(lower(url || CASE page_id % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN '.png' WHEN 2 THEN '.txt' ELSE '' END), '\\.(jpg|jpeg|png|bmp|gif|webp)$') AS is_image FROM pages")
@@ -113,10 +123,9 @@ def checkpoint_step(spark, tables):
 
 @query("w12_natural_sort", "SELECT page_id, row_number() OVER (ORDER BY (page_id * 7919) % 1000, page_id) AS place FROM pages")
 def natural_sort(spark, tables):
-    from pyspark.sql import Window
-
     name = F.concat(F.lit("frame"), (F.col("page_id") * 7919) % 1000, F.lit("_"), "page_id", F.lit(".jpg"))
-    return tables("pages").select("page_id", F.row_number().over(Window.orderBy(X.natural_key(name))).alias("place"))
+    named = tables("pages").select("page_id", X.natural_key(name).alias("key"))
+    return numbered(named, "key").select("page_id", (F.col("pos") + 1).alias("place"))
 
 
 @query("f6_prompt", "SELECT conv_id, turn, trim('<|vision_start|><|image_pad|><|vision_end|> Represent the item: ' || coalesce(text, '')) AS prompt FROM conversations")
@@ -241,11 +250,11 @@ def cluster_representatives(spark, tables):
     return dedup.representatives(tables("documents"), "doc_id", "text", compat=False).select("doc_id")
 
 
-@query("a27_components", """WITH RECURSIVE e AS (SELECT label * 1000 + (vec_id % 7) AS u, label * 1000 + (vec_id % 5) AS v FROM embeddings WHERE vec_id % 11 = 0),
+@query("a27_components", """WITH RECURSIVE e AS (SELECT label * 1000 + (vec_id % 7) AS u, label * 1000 + (vec_id % 5) AS v FROM embeddings),
 b AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v), r AS (SELECT u AS node, u AS seen FROM b UNION SELECT r.node, b.v FROM r JOIN b ON b.u = r.seen)
 SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def components(spark, tables):
     from tessel.operators.graph import connected_components
 
-    e = tables("embeddings").where("vec_id % 11 = 0").select((F.col("label") * 1000 + F.col("vec_id") % 7).alias("src"), (F.col("label") * 1000 + F.col("vec_id") % 5).alias("dst"))
+    e = tables("embeddings").select((F.col("label") * 1000 + F.col("vec_id") % 7).alias("src"), (F.col("label") * 1000 + F.col("vec_id") % 5).alias("dst"))
     return connected_components(e)
