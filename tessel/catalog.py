@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.queries import ORACLE_SQL, QUERIES, files, retrieval, tables, texts  # noqa: F401
+from tessel.queries import ORACLE_SQL, QUERIES, files, records, retrieval, tables, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -199,3 +199,14 @@ def media_items(messages: Column) -> Column:
     """The image and video items of nested chat messages array<struct<content: array<struct<type, ...>>>>, in order."""
     items = F.flatten(F.transform(messages, lambda m: m["content"]))
     return F.filter(items, lambda x: x["type"].isin("image", "image_url", "video"))
+
+
+def stage_bounds(text: Column, titles: tuple[str, ...] = STAGES) -> Column:
+    """(name, start, end) of each stage that is titled in a text, by start, from 1: a stage ends where the next begins, the
+    last one at the end. All in the JVM."""
+    pattern = lambda t: F.lit(rf"(?im)^[#*\s\d.)]*(?:stage\s*\d+\s*[:.-]?\s*)?\Q{t}\E\b")
+    found = F.array(*[F.struct(F.coalesce(F.regexp_instr(text, pattern(t)), F.lit(0)).alias("start"), F.lit(t).alias("name")) for t in titles])
+    there = F.array_sort(F.filter(found, lambda x: x["start"] > 0))
+    after = F.concat(F.slice(F.transform(there, lambda x: x["start"]), F.lit(2), F.greatest(F.size(there), F.lit(1))), F.array(F.length(text) + 1))
+    bounds = F.zip_with(there, after, lambda x, e: F.struct(x["name"].alias("name"), x["start"].alias("start"), e.alias("end")))
+    return F.slice(bounds, F.lit(1), F.size(there))

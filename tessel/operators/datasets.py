@@ -100,7 +100,7 @@ def interleave_weighted(sources: dict[str, DataFrame], weights: dict[str, float]
     sent around: batch b takes the source whose span of the unit line holds the hash of (b, seed)."""
     spark = next(iter(sources.values())).sparkSession
     names, whole = sorted(sources), sum(weights.values())
-    u = F.pmod(F.xxhash64(F.col("b"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.conv(F.substring(hash_order(F.col("b"), seed), 1, 7), 16, 10).cast("long") / F.lit(float(1 << 28))
     pick, upto = F.lit(names[-1]), 0.0
     edges = []
     for s in names:
@@ -119,8 +119,8 @@ def interleave_weighted(sources: dict[str, DataFrame], weights: dict[str, float]
 
 
 def hash_order(ids: Column, seed: int = 0) -> Column:
-    """A shuffled order that is the same on every run."""
-    return F.xxhash64(ids, F.lit(seed))
+    """A shuffled order that is the same on every run, and in any engine that has md5."""
+    return F.md5(F.concat_ws(":", ids.cast("string"), F.lit(str(seed))).cast("binary"))
 
 
 def sample(rows: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:

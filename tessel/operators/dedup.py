@@ -70,3 +70,9 @@ def representatives(docs: DataFrame, id_col: str, text_col: str, **how) -> DataF
     """``docs`` with one document of each cluster, that of the smallest id."""
     kept = clusters(docs, id_col, text_col, **how).where("id = cluster").select(F.col("id").alias(id_col))
     return docs.join(kept, id_col, "left_semi")
+
+
+def save_representatives(docs: DataFrame, path: str, id_col: str, text_col: str, **how) -> DataFrame:
+    """Writes the representatives as Parquet and reads them."""
+    representatives(docs, id_col, text_col, **how).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)

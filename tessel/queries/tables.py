@@ -90,13 +90,16 @@ def all_exhausted(spark, tables):
     return D.interleave_round_robin({"customer": tables("customer").select(F.col("c_custkey").alias("id")), "supplier": tables("supplier").select(F.col("s_suppkey").alias("id"))}, "id", "all_exhausted")
 
 
-@query("u8_u9_weighted_mix")
+@query("u8_u9_weighted_mix", """WITH t AS (SELECT i AS place, CASE WHEN CAST('0x' || substr(md5((i // 8) || ':1'), 1, 7) AS BIGINT) / CAST(268435456 AS DOUBLE) < 0.3 THEN 'customer' ELSE 'orders' END AS source FROM (SELECT unnest(range(0, 2000)) AS i)),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY place) - 1 AS nth FROM t),
+r AS (SELECT 'orders' AS source, o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS at_, (SELECT count(*) FROM orders) AS size FROM orders UNION ALL SELECT 'customer', c_custkey, row_number() OVER (ORDER BY c_custkey) - 1, (SELECT count(*) FROM customer) FROM customer)
+SELECT place, n.source, id FROM n JOIN r ON n.source = r.source AND nth % size = at_""")
 def weighted_mix(spark, tables):
     sources = {"orders": tables("orders").select(F.col("o_orderkey").alias("id")), "customer": tables("customer").select(F.col("c_custkey").alias("id"))}
     return D.interleave_weighted(sources, {"orders": 0.7, "customer": 0.3}, "id", total=2000, batch=8, seed=1).select("place", "source", "id")
 
 
-@query("l1_l2_hash_sample")
+@query("l1_l2_hash_sample", "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || ':3'), o_orderkey LIMIT 50")
 def hash_sample(spark, tables):
     return D.sample(tables("orders"), "o_orderkey", 50, seed=3).select("o_orderkey")
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.functions.text import natural_key
+from tessel.operators.numbering import numbered
 from tessel.sources import schemas
 
 
@@ -110,16 +112,69 @@ def list_images(spark: SparkSession, folder: str, endings: tuple[str, ...] = ("j
     return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*endings)).orderBy("path")
 
 
+def _bare(path: Column) -> Column:
+    """A path without the many ways to write that it is local."""
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def load_frames(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
+    """(frame, path) of the images of a folder in natural order, frame from 0; with ``pattern`` those whose path it matches."""
+    found = list_images(spark, folder)
+    found = found.where(F.col("path").rlike(pattern)) if pattern else found
+    keyed = found.select("path", natural_key(F.col("path")).alias("key"))
+    return numbered(keyed, "key", out="frame").select("frame", "path")
+
+
+def fetch(rows: DataFrame, column: str, out: str = "content", client: Callable[[str], bytes] | None = None) -> DataFrame:
+    """``rows`` with the bytes that an address names: a data URI's, or a file's of any file system that Spark reads; other
+    addresses are asked of ``client``, and are null without one. So is what is not there."""
+    address = F.col(column)
+    coded = F.regexp_extract(address, r"(?s)^data:[^,]*?;base64,(.*)$", 1)
+    plain = F.regexp_extract(address, r"(?s)^data:[^,]*?,(.*)$", 1)
+    made = rows.withColumn(out, F.when(address.rlike("^data:[^,]*;base64,"), F.unbase64(coded)).when(address.startswith("data:"), F.url_decode(plain).cast("binary")))
+    spark = rows.sparkSession
+    remote = address.rlike("^https?://")
+
+    def read(batches):
+        for pdf in batches:
+            pdf[out] = [client(a) if client else None for a in pdf[column]]
+            yield pdf
+
+    schema = made.schema
+    asked = made.where(remote).mapInPandas(read, schema)
+    named = made.where(~F.coalesce(remote | address.startswith("data:"), F.lit(True)))
+    folders = [r[0] for r in named.select(F.regexp_replace(column, "/[^/]*$", "").alias("f")).distinct().toLocalIterator()]  # a row for each folder
+    files = spark.read.format("binaryFile").load(folders).select(F.col("path").alias("__p"), F.col("content").alias("__c")) if folders else spark.createDataFrame([], "__p string, __c binary")
+    got = named.join(files, _bare(F.col(column)) == _bare(F.col("__p")), "left").withColumn(out, F.col("__c")).drop("__p", "__c")
+    return made.where(F.coalesce(address.startswith("data:"), F.lit(True))).unionByName(asked).unionByName(got)
+
+
+def read_template(spark: SparkSession, path: str, head: str = r"^#{2,}\s*(.+?)\s*$") -> DataFrame:
+    """(pos, name, body) of a template file: a body under each heading line."""
+    whole = spark.read.text(path, wholetext=True)
+    parts = F.split(F.concat(F.lit("\n"), "value"), r"\n(?=#{2,}\s*\S)")
+    kept = F.filter(parts, lambda x: x.rlike(r"^#{2,}"))
+    first = lambda c: F.regexp_extract(c, f"(?m){head}", 1)
+    return whole.select(F.posexplode(kept).alias("pos", "x")).select("pos", first(F.col("x")).alias("name"), F.regexp_replace(F.regexp_replace("x", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("body"))
+
+
 def load_images(rows: DataFrame, folder: str, key: str, placeholder: bytes | None = None) -> DataFrame:
     """``rows`` with the content of the file that ``key`` names; the placeholder, or null, where there is none."""
     files = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("__path"), F.col("content").alias("__content"))
-    out = rows.join(files, rows[key] == F.col("__path"), "left").drop("__path")
+    out = rows.join(files, _bare(rows[key]) == _bare(F.col("__path")), "left").drop("__path")
     return out.withColumn("content", F.coalesce("__content", F.lit(placeholder) if placeholder is not None else F.lit(None).cast("binary"))).drop("__content")
 
 
 # sinks
 
 
+def write_report(grid: DataFrame, path: str, summary: DataFrame, metadata: dict[str, str]) -> None:
+    """A report as three tables under one path: the grid of ranks, the summary, and what the run was."""
+    grid.write.mode("overwrite").option("header", True).csv(f"{path}/grid")
+    summary.write.mode("overwrite").option("header", True).csv(f"{path}/summary")
+    grid.sparkSession.createDataFrame(sorted(metadata.items()), "name string, value string").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/metadata")
+
+
 def write_json(df: DataFrame, path: str, summary: dict[str, str] | None = None) -> None:
     """JSON lines, written by Spark's committer, so that readers see all or nothing; a summary of one row beside it."""
     df.write.mode("overwrite").json(path)
