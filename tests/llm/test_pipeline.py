@@ -1,6 +1,7 @@
 """The pipeline's stages keep the columns, and do what their operators say."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -45,3 +46,50 @@ def test_stages(spark, tmp_path):
             assert set(after) == {i for i, t in before if item not in t}
         else:
             assert set(after) == {r.id for r in mix(sizes(spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in before], "doc_id long, text string, source string"))).where("copies > 0").collect()}
+
+
+NAMES = "id key rows runs again of whole last made mix_copies tox_score offending n_lines n_deleted __id __runs __of __whole __last rep component_id kept hub g label n size source_size target copies taken h x lcs item_id start".split()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows and ids, and columns with the names that the operators use."""
+    rng = np.random.default_rng(9)
+    base = [prose(rng, 50) for _ in range(8)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(base)]
+    rows += [rows[0], rows[0], (8, None, None, None, None), (9, "", "en", "s", 0), (10, " \n\t", "en", None, 4), (None, base[1], "en", "s", 5), (None, None, None, None, None), (3, base[4] + " other", "en", "s", 1), (11, "word " * 30_000, "en", "s", 150_000), (12, base[5].replace(" ", "\n"), None, "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for k, name in enumerate(NAMES):
+        docs = docs.withColumn(name, F.lit(k))
+    return docs
+
+
+@pytest.mark.parametrize("kind", ["rows", "nothing"])
+def test_odd_rows_and_clashing_names_through_all_stages(spark, odd, kind, tmp_path):
+    docs = odd if kind == "rows" else odd.limit(0)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 1, 1), (None, None, None), (8, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "an item that is nowhere in these texts"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, at, str(tmp_path))
+        if name != "mixing":
+            assert out.columns == docs.columns, name
+        else:
+            assert sorted(out.columns) == sorted(docs.columns)  # its copies replace the column of that name
+        out.write.parquet(f"{tmp_path}/{name}.parquet")
+        at = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        got = at.collect()
+        if kind == "nothing":
+            assert got == [], name
+            continue
+        for k, c in enumerate(NAMES):
+            assert c == "mix_copies" and name == "mixing" or {r[c] for r in got} == {k}, (name, c)
+        ids = [r.doc_id for r in got]
+        if name in ("toxicity", "line_dedup"):
+            assert len(got) == docs.count()
+        elif name in ("near_dedup", "decontamination"):
+            # equal rows are one, null ids and empty texts stay, a copy goes
+            assert ids.count(0) == 1 and ids.count(None) == 2 and {8, 9, 10, 11} <= set(ids) and 12 not in ids
+    if kind == "rows":
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(got)
