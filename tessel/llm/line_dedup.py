@@ -164,3 +164,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     added = [T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())]
     out = T.StructType([*[docs.schema[c] for c in own], *(added if counts else [])])
     return rows.mapInArrow(_delete(own.index(text_col), len(own), to_arrow_schema(out), counts), out)
+
+
+ORACLE = r"""
+WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM p),
+c AS (SELECT doc_id, i, line, len(ws) AS n, array_to_string(ws, ' ') AS said, CAST(sum(CASE WHEN len(ws) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - 1 AS k FROM w),
+f AS (SELECT doc_id, k, n, said, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS upto FROM c WHERE n > 0),
+a AS (SELECT f.doc_id, f.k AS s, min(g.k) AS e FROM f JOIN f AS g ON g.doc_id = f.doc_id AND g.k BETWEEN f.k AND f.k + 19 WHERE g.upto - f.upto + f.n >= 20 GROUP BY ALL),
+b AS (SELECT f.doc_id, max(g.k) AS s, f.k AS e FROM f JOIN f AS g ON g.doc_id = f.doc_id AND g.k BETWEEN f.k - 19 AND f.k WHERE f.upto - g.upto + g.n >= 20 GROUP BY f.doc_id, f.k),
+u AS (SELECT doc_id, s, e FROM a UNION SELECT doc_id, s, e FROM b),
+r AS (SELECT u.doc_id, u.s, u.e, string_agg(f.said, chr(10) ORDER BY f.k) AS run FROM u JOIN f ON f.doc_id = u.doc_id AND f.k BETWEEN u.s AND u.e GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS nth FROM r),
+x AS (SELECT DISTINCT o.doc_id, f.k FROM o JOIN f ON f.doc_id = o.doc_id AND f.k BETWEEN o.s AND o.e WHERE nth > 1),
+t AS (SELECT c.doc_id, coalesce(string_agg(c.line, chr(10) ORDER BY c.i) FILTER (WHERE x.k IS NULL), '') AS text,
+  CAST(sum(CASE WHEN c.n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN c.n > 0 AND x.k IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_deleted
+  FROM c LEFT JOIN x ON x.doc_id = c.doc_id AND x.k = c.k GROUP BY c.doc_id)
+SELECT d.doc_id, t.text, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_deleted, 0) AS n_deleted FROM documents AS d LEFT JOIN t USING (doc_id)
+"""

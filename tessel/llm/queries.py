@@ -10,6 +10,7 @@ from tessel.llm import language, mixing, toxicity
 from tessel.llm.decontaminate import find_leaks
 from tessel.llm.html_text import extract
 from tessel.llm.licenses import scan_licenses
+from tessel.llm.line_dedup import ORACLE as LINE_DEDUP_ORACLE
 from tessel.llm.line_dedup import line_dedup
 from tessel.llm.near_dedup import ORACLE as NEAR_DEDUP_ORACLE
 from tessel.llm.near_dedup import near_duplicates
@@ -95,6 +96,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_winnowed_line_dedup": LINE_DEDUP_ORACLE,
     "op7_hash_threshold_mix": mixing.ORACLE,
     "op10_circulant_minhash": NEAR_DEDUP_ORACLE,
 }
