@@ -233,9 +233,9 @@ def _compiled(rules: tuple[Rule, ...]):
     return automata, by_key, by_word, frozenset(k for k, r in enumerate(rules) if not r.words), [re.compile(r.regex) for r in rules]
 
 
-def tried(text: str, rules: tuple[Rule, ...]) -> list[int]:
+def tried(text: str, compiled: tuple) -> list[int]:
     """The rules that can match: one of their keywords is in the text, and one of their words begins a word of it."""
-    (auto, auto_words), by_key, by_word, without, _ = _compiled(rules)
+    (auto, auto_words), by_key, by_word, without, _ = compiled
     keys = {key for _, key in auto.iter(text)}
     if not keys:
         return []
@@ -266,10 +266,12 @@ def resolve(found: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int,
     return sorted(kept)
 
 
-def detect(text: str, rules: tuple[Rule, ...]) -> list[tuple[int, int, str, float]]:
-    """(start, end, label, confidence) of the detections that stand, by start; ``text`` is in lower case."""
-    regexes = _compiled(rules)[-1]
-    found = [(-rules[k].priority, m.start() - m.end(), m.start(), rules[k].order, m.end(), k) for k in tried(text, rules) for m in regexes[k].finditer(text)]
+def detect(text: str, rules: tuple[Rule, ...], compiled: tuple | None = None) -> list[tuple[int, int, str, float]]:
+    """(start, end, label, confidence) of the detections that stand, by start; ``text`` is in lower case. ``compiled``: what
+    ``_compiled`` gives for the rules, to be asked for once and not for every text."""
+    compiled = compiled or _compiled(rules)
+    regexes = compiled[-1]
+    found = [(-rules[k].priority, m.start() - m.end(), m.start(), rules[k].order, m.end(), k) for k in tried(text, compiled) for m in regexes[k].finditer(text)]
     return [(start, end, rules[k].label, rules[k].confidence) for start, end, k in resolve(found)]
 
 
@@ -278,6 +280,7 @@ def _scan(rules: tuple[Rule, ...], base: tuple[tuple[str, str], ...]):
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("confidence", pa.float64())]))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = _compiled(rules)
         for batch in batches:
             n = batch.num_rows
             n_words, n_base = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -305,7 +308,7 @@ def _scan(rules: tuple[Rule, ...], base: tuple[tuple[str, str], ...]):
                     if own:
                         first[i], last[i] = min(own)[0], max(own)[0]
                     names[i] = ",".join(sorted(labels))
-                    got = detect(lower[offs[i - lo] : offs[i - lo + 1]].tobytes().decode(), rules)
+                    got = detect(lower[offs[i - lo] : offs[i - lo + 1]].tobytes().decode(), rules, compiled)
                     found[i] = [{"start": a, "end": b, "label": x, "confidence": c} for a, b, x, c in got]
                     full[i] = ",".join(sorted(labels | {x for _, _, x, _ in got}))
                     score[i] = max([c for *_, c in got] + [0.9] * bool(own) + [0.0])
