@@ -10,6 +10,8 @@ Hashes are 64-bit. A word's hash is a polynomial over a table of random byte val
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -40,6 +42,23 @@ LETTERS[48:58] = False
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def lean(of):
+    """The Arrow function ``of``, after whose last batch the worker gives memory that it holds unused back: workers are kept
+    for later tasks, and what one task needed for a moment would stay with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from of(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:

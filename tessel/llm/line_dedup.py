@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessel.llm._text import SPACED, chunks, mix64, powers, words
+from tessel.llm._text import SPACED, chunks, lean, mix64, powers, words
 from tessel.plans.lineage import Scratch, free_name
 
 MIN_WORDS = 20
@@ -146,7 +146,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, runs): for each document the windows [(th, s, e)] that occur before; th is the hash of the text they are in."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     with Scratch() as scratch:
-        prints = scratch.cut(texts.mapInArrow(_fingerprints(min_words), f"h long, id long, th long, windows array<{_AT}>"))
+        prints = scratch.cut(texts.mapInArrow(lean(_fingerprints(min_words)), f"h long, id long, th long, windows array<{_AT}>"))
         # tables of the joins' smaller sides are written first: Spark broadcasts them, or splits the other side's hot keys
         again = scratch.cut(prints.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
         around = scratch.cut(prints.join(again, "h", "left_semi").select("id", "th", F.inline("windows")))
@@ -163,7 +163,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.join(runs, docs[id_col].cast("long") == F.col(key), "left").select(*[docs[c] for c in own], held)
     added = [T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())]
     out = T.StructType([*[docs.schema[c] for c in own], *(added if counts else [])])
-    return rows.mapInArrow(_delete(own.index(text_col), len(own), to_arrow_schema(out), counts), out)
+    return rows.mapInArrow(lean(_delete(own.index(text_col), len(own), to_arrow_schema(out), counts)), out)
 
 
 ORACLE = r"""

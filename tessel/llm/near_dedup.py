@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm._text import Words, chunks, fold, mix64, words
+from tessel.llm._text import Words, chunks, fold, lean, mix64, words
 from tessel.operators.graph import connected_components
 from tessel.plans.lineage import Scratch
 
@@ -149,7 +149,7 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, scratch: Scratch, percent:
     wanted = members.unionByName(pivots)
     rows = wanted.join(texts, wanted["b"] == texts["id"]).select("a", "b", "block", "text")
     dealt = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("a") != F.col("b"))
-    return dealt.select("a", "b", "text").mapInArrow(_confirm(percent, size), "a long, b long").distinct()
+    return dealt.select("a", "b", "text").mapInArrow(lean(_confirm(percent, size)), "a long, b long").distinct()
 
 
 def _sets(size: int):
@@ -244,7 +244,7 @@ def _links_across(met: DataFrame, sets: DataFrame, scratch: Scratch, percent: in
     sides = pairs.select("g", "pair", "same", F.lit(0).alias("side"), "block").unionByName(pairs.where("not same").select("g", "pair", "same", F.lit(1).alias("side"), F.col("block2").alias("block")))
     dealt = placed.join(sides, ["g", "block"]).select("pair", "same", "side", F.col("rep").alias("r"))
     rows = dealt.join(sets, dealt["r"] == sets["rep"]).select("pair", "same", "side", "rep", "label", "keys")
-    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_compare(percent), "a long, b long").distinct()
+    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(lean(_compare(percent)), "a long, b long").distinct()
 
 
 def _joined(labels: DataFrame, fresh: DataFrame, cut) -> DataFrame:
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     with Scratch() as scratch:
         cut = scratch.cut
-        base = cut(texts.mapInArrow(_describe(bands, rows, size), "id long, n long, fp_a long, fp_b long, bands array<long>"))
+        base = cut(texts.mapInArrow(lean(_describe(bands, rows, size)), "id long, n long, fp_a long, fp_b long, bands array<long>"))
         # small tables are written before they are joined: Spark broadcasts them, or splits the hot keys of the other side
         reps = cut(base.where("n > 0 and id is not null").groupBy("fp_a", "fp_b", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m"))
         rep = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("rep", "id"))
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         live = cut(named.join(mixed, "key", "left_semi").select("rep", "label").distinct())
         if not live.isEmpty():
             held = candidates.join(live, candidates["id"] == live["rep"]).select("rep", "label", "text")
-            sets = cut(held.mapInArrow(_sets(size), "rep long, label long, n long, keys array<long>"))
+            sets = cut(held.mapInArrow(lean(_sets(size)), "rep long, label long, n long, keys array<long>"))
             fresh = cut(_links_across(_met(sets, scratch, percent), sets, scratch, percent))
             if not fresh.isEmpty():
                 labels = _joined(labels, fresh, cut)

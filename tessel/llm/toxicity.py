@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessel.llm._text import LETTERS, chunks, span_hash, words
+from tessel.llm._text import LETTERS, chunks, lean, span_hash, words
 
 BITS = 18
 PREFIXES = (4, 5, 6)
@@ -97,12 +97,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         pick = part if pick is None else pick.unionByName(part)
     # at most 2 * max_labelled rows of 12 bytes, whatever the input
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id")
-    made = rows.select("toxic", "text", F.xxhash64("id").alias("h")).mapInArrow(_gather, "toxic int, h long, x binary, sizes binary")
+    made = rows.select("toxic", "text", F.xxhash64("id").alias("h")).mapInArrow(lean(_gather), "toxic int, h long, x binary, sizes binary")
     before = F.sum(F.length("x")).over(Window.partitionBy("toxic").orderBy("h", "x").rowsBetween(Window.unboundedPreceding, -1))
     made = made.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < max_bytes)
     # one order whatever order the rows came in, so that the sums are the same
     one = made.repartition(1).sortWithinPartitions("toxic", "h", "x").select("toxic", "x", "sizes")
-    row = one.mapInArrow(_train(how), "weights binary, bias double").first()
+    row = one.mapInArrow(lean(_train(how)), "weights binary, bias double").first()
     if row is None:  # nothing to learn from
         return fit_arrays(np.zeros(0), [], [], **how)
     return MilModel(np.frombuffer(row.weights, np.float32), row.bias)
@@ -214,9 +214,9 @@ def score_documents(docs: DataFrame, model: MilModel, text_col: str = "text", of
     kept = docs.select(*[docs[c] for c in docs.columns if c.lower() not in ("tox_score", "offending")])
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
     out = T.StructType([*kept.schema.fields, T.StructField("tox_score", T.DoubleType()), T.StructField("offending", T.ArrayType(span))])
-    return kept.mapInArrow(_scorer(model, kept.columns.index(text_col), to_arrow_schema(out), offending), out)
+    return kept.mapInArrow(lean(_scorer(model, kept.columns.index(text_col), to_arrow_schema(out), offending)), out)
 
 
 def reject(docs: DataFrame, model: MilModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, with all their columns as they are."""
-    return docs.mapInArrow(_rejecter(model, docs.columns.index(text_col), threshold), docs.schema)
+    return docs.mapInArrow(lean(_rejecter(model, docs.columns.index(text_col), threshold)), docs.schema)
