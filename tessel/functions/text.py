@@ -67,11 +67,11 @@ def small_hash(items: Column, length: int = 8) -> Column:
     return F.substring(F.md5(F.array_join(F.array_sort(items), "").cast("binary")), 1, length)
 
 
-def preclean(text: Column) -> Column:
-    """Without marks of no width and fenced code, with plain quotes, trimmed."""
+def preclean(text: Column, blanks: str | None = None) -> Column:
+    """Without marks of no width and fenced code, with plain quotes, trimmed: of white space, or of the characters ``blanks``."""
     out = F.regexp_replace(F.translate(text, ZERO_WIDTH, ""), r"```[\s\S]*?```", "")
     out = F.translate(out, SMART_DOUBLE + SMART_SINGLE, '"' * len(SMART_DOUBLE) + "'" * len(SMART_SINGLE))
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    return F.regexp_replace(out, r"^\s+|\s+$", "") if blanks is None else F.trim(out, F.lit(blanks))
 
 
 def is_valid_caption(text: Column, strict: bool = False, longest: int = MAX_CAPTION) -> Column:
