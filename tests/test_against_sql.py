@@ -1,9 +1,12 @@
 """Queries on small odd tables, against their SQL in DuckDB."""
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessel import catalog
+from tessel.operators import similarity as S
 
 
 @pytest.fixture
@@ -33,3 +36,16 @@ def test_missing_ranks_of_equal_score_go_by_key(both):
     rows += [(2 * 10**9, 1, 9.6), (10**9 + 1, 1, 10.0), (None, 1, 10.2), (4, None, 1.5), (3, None, 2.4)]
     got, want = both("w5_missing_rank_last", "orders", rows, "o_orderkey long, o_custkey long, o_totalprice double")
     assert got == want
+
+
+def test_all_pairs_by_blocks(both, spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(rng.normal(size=(61, 5)).astype(np.float32))]
+    rows += [(70, None, 0), (71, rows[0][1], 0), (None, rows[1][1], 0)]
+    monkeypatch.setattr(S, "cosine", None)  # a numpy product for each pair of blocks, and no expression for each pair
+    got, want = both("j1_all_pairs_similarity", "embeddings", rows, "vec_id long, embedding array<float>, label int")
+    assert got == want and len(got) == 8 * 62
+    odd = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, None]), (2, [1.0]), (3, []), (4, [0.0, 0.0]), (5, [float("nan"), 1.0])], "id long, embedding array<double>")
+    found = {(r.query_id, r.candidate_id): r.similarity for r in S.pairs(odd.where("id in (0, 3)"), odd.withColumn("id", F.col("id")), keep_self=True, block_rows=2).collect()}
+    assert np.isnan(found.pop((0, 5)))
+    assert found == {(0, 0): 1.0, (3, 3): 0.0, (0, 4): 0.0} | {(0, c): None for c in (1, 2, 3)} | {(3, c): None for c in (0, 1, 2, 4, 5)}
