@@ -3,10 +3,10 @@
 1. Counts. The passages of all documents (``window`` words, every ``stride``) give the document frequency of each hashed
    word, and so its idf, which is smoothed and above 0 for every word: an item that lies in many documents makes its own
    words frequent, and must still be found.
-2. Basis. For each block of ``block`` items a randomised SVD of the TF-IDF matrix of a bounded sample of passages (those of
-   least hash, at most about ``fit_passages``) and of the block's items, which together weigh as much: a random projection,
-   one power iteration, an orthonormal basis and the eigenvectors of the small projected matrix. Tasks sum their products
-   and add them up among themselves; the driver sends a finished basis round. A basis for few items holds most of each, however many items there are.
+2. Basis. For each block of ``block`` items a randomised SVD of the TF-IDF matrix of all passages and of the block's items,
+   which together weigh as much: a random projection, one power iteration, an orthonormal basis and the eigenvectors of the
+   small projected matrix. Tasks sum their products and add them up among themselves; the driver sends a finished basis
+   round. A basis for few items holds most of each, however many items there are.
 3. Search. The cosine of every passage with each item's projection, in the space of the words. Beside it every passage that
    shares ``GRAM`` consecutive words with an item (all words of a shorter one) is a candidate, whatever its cosine.
 4. Checks. About each candidate, in the passage widened by the item's length on both sides: the words of the item that
@@ -23,14 +23,14 @@ of the first start. Ties: of passages with equal cosines the first is checked fi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tessel.llm._text import ALNUM, chunks, fold, lean, words
@@ -39,13 +39,16 @@ from tessel.plans.lineage import Scratch
 BITS = 14
 RANK, OVERSAMPLE = 128, 8
 WINDOW, STRIDE = 48, 24
-FIT_PASSAGES = 40_000
 #: Items that share a basis.
 BLOCK = 256
 #: Consecutive words that make a passage a candidate.
 GRAM = 5
-#: Tasks that the sampled passages are dealt to: each sends one block of sums to the driver.
-FIT_TASKS = 8
+#: A task of the fit has this many passages or more, so that its sums, a matrix, are small beside its texts.
+FIT_LEAST = 50_000
+#: Sums of so many tasks are added up at once, and bases of so many blocks are used in one pass over the texts.
+_ADDED, _AT_ONCE = 32, 4
+#: Words found more often than this in one batch of passages are summed by a matrix product.
+_OFTEN = 16
 #: Rows of a matrix that are sent as one part.
 _PART = 1024
 #: Top bits of a hash that tell the benchmark's words and runs of words from nearly all others.
@@ -97,24 +100,9 @@ def _frequencies(window: int, stride: int):
     return of
 
 
-def _sampled(window: int, stride: int, below: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, buf, offs in chunks(batch.column(0)):
-                w, b = _buckets(buf, offs)
-                if not len(b):
-                    continue
-                _, lo, hi = passages(w.first, window, stride)
-                mix = w.hash[lo] * np.uint64(0x9DDFEA08EB382D69) + w.hash[hi - 1] * np.uint64(0xD6E8FEB86659FD93) + w.hash[(lo + hi) // 2]
-                pick = np.flatnonzero((mix >> np.uint64(32)) < np.uint64(below))
-                yield pa.RecordBatch.from_arrays([pa.array([b[lo[i] : hi[i]].astype(np.int32) for i in pick], pa.list_(pa.int32()))], names=["words"])
-
-    return of
-
-
 @dataclass
 class Latent:
-    """idf of each bucket, and the basis: a broadcast matrix (bucket x width) times a small one (width x rank)."""
+    """idf of each bucket, and the basis: a broadcast matrix (bucket x width), scaled by idf, times a small one (width x rank)."""
 
     idf: np.ndarray
     wide: Broadcast
@@ -123,7 +111,7 @@ class Latent:
     @property
     def basis(self) -> np.ndarray:
         """(bucket x rank), scaled by idf; made anew where it is asked for."""
-        return (self.wide.value @ self.turn) * self.idf[:, None]
+        return self.wide.value @ self.turn
 
 
 def _tfidf(lists, idf: np.ndarray):
@@ -164,27 +152,79 @@ def _add_products(lists, idf: np.ndarray, m: np.ndarray, gram: bool, out: np.nda
         out[f[head]] += np.add.reduceat(y[row[order]] * v[order][:, None], head)
 
 
-def _products(idf: np.ndarray, width: int, wide: Broadcast | None, weigh: int = 2048):
-    """Sums over a task's passages: of A'A times the random matrix, or with ``wide`` of its Gram matrix, in parts."""
+def _products(idf: np.ndarray, width: int, window: int, stride: int, wides: list[Broadcast]):
+    """Sums over all passages of a task, in parts: of A'A times the random matrix, or of the Gram matrix of each of ``wides``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = wide is not None
-        m = wide.value if gram else _start(width)
-        out = np.zeros((width, width) if gram else m.shape, np.float32)
+        tables = [w.value for w in wides] or [_start(width) * idf[:, None]]
+        outs = [np.zeros((width, width) if wides else (1 << BITS, width)) for _ in tables]
         for batch in batches:
-            lists = [np.asarray(x, np.int64) for x in batch.column(0).to_pylist()]
-            for k in range(0, len(lists), weigh):
-                _add_products(lists[k : k + weigh], idf, m, gram, out)
-        for k in range(0, len(out), _PART):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([out[k : k + _PART].tobytes()], pa.binary())], names=["part", "sums"])
+            for _, _, buf, offs in chunks(batch.column(0)):
+                w, b = _buckets(buf, offs)
+                if not len(b):
+                    continue
+                _, lo, hi = passages(w.first, window, stride)
+                for k in range(0, len(lo), 1024):
+                    for table, out in zip(tables, outs, strict=True):
+                        vector, norm, pieces = _project(table, idf, b, lo[k : k + 1024], hi[k : k + 1024], stride)
+                        y = (vector / norm[:, None]).astype(np.float32)
+                        if wides:
+                            out += y.T @ y
+                        else:
+                            _scatter((y / norm[:, None]).astype(np.float32), b, *pieces, out)
+        if not wides:
+            outs[0] *= idf[:, None]
+        task = TaskContext.get().partitionId() // _ADDED
+        for j, out in enumerate(outs):
+            for k in range(0, len(out), _PART):
+                yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([j]), pa.array([k]), pa.array([out[k : k + _PART].astype(np.float32).tobytes()], pa.binary())], names=["task", "own", "part", "sums"])
 
     return of
 
 
+def _scatter(y: np.ndarray, b: np.ndarray, first: np.ndarray, after: np.ndarray, where: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+    """Adds to the row of each word, once for each time that a passage has it, the passage's row of ``y``."""
+    order = np.argsort(where, kind="stable")
+    passage = np.repeat(np.arange(len(n)), n)[order]
+    head = np.searchsorted(where[order], np.arange(len(first)))
+    sums = _segment_sums(y, passage, head, np.diff(np.append(head, len(passage))))
+    size = after - first
+    flat = b[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    piece = np.repeat(np.arange(len(first)), size)
+    order = np.argsort(flat, kind="stable")
+    f, piece = flat[order], piece[order]
+    head = np.flatnonzero(np.append(True, np.diff(f) > 0))
+    many = np.diff(np.append(head, len(f)))
+    often = many > _OFTEN
+    rare = head[~often]
+    out[f[rare]] += _segment_sums(sums, piece, rare, many[~often])
+    if often.any():  # a product with their counts in the pieces
+        mine = np.repeat(often, many)
+        word = np.repeat(np.cumsum(often) - 1, many)[mine]
+        counts = np.bincount(word * len(first) + piece[mine], minlength=int(often.sum()) * len(first))
+        out[f[head[often]]] += counts.astype(np.float32).reshape(-1, len(first)) @ sums
+
+
+def _segment_sums(m: np.ndarray, rows: np.ndarray, head: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of the rows of ``m`` that rows[head:head + n] names, for each segment; one round for each place in it."""
+    out = m[rows[head]]
+    for k in range(1, int(n.max(initial=0))):
+        more = np.flatnonzero(n > k)
+        out[more] += m[rows[head[more] + k]]
+    return out
+
+
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sum of a part's matrices, one from each task of the fit."""
+    """The sum of a part's matrices, one from each task or group of tasks."""
     total = sum((np.frombuffer(x, np.float32).astype(np.float64) for x in sorted(pdf["sums"])), np.zeros(1))
-    return pd.DataFrame({"part": pdf["part"].iloc[:1], "sums": [total.astype(np.float32).tobytes()]})
+    return pdf.iloc[:1].assign(sums=[total.astype(np.float32).tobytes()])
+
+
+def _added(texts: DataFrame, idf: np.ndarray, width: int, window: int, stride: int, wides: list[Broadcast]) -> DataFrame:
+    schema = "task long, own long, part long, sums binary"
+    every = texts.mapInArrow(lean(_products(idf, width, window, stride, wides)), schema)
+    some = every.groupBy("task", "own", "part").applyInPandas(_add, schema)
+    return some.groupBy("own", "part").applyInPandas(_add, schema).select("own", "part", "sums")
 
 
 def _orthonormal(items: list[np.ndarray], idf: np.ndarray, width: int, weight: float):
@@ -196,7 +236,7 @@ def _orthonormal(items: list[np.ndarray], idf: np.ndarray, width: int, weight: f
         _add_products(items, idf, start, False, out)
         out *= np.float32(weight)
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, x in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
                 out[k : k + _PART] += np.frombuffer(x, np.float32).reshape(-1, width)
         q = np.linalg.qr(out)[0].astype(np.float32)
         for k in range(0, len(q), _PART):
@@ -205,13 +245,13 @@ def _orthonormal(items: list[np.ndarray], idf: np.ndarray, width: int, weight: f
     return of
 
 
-def _matrix(parts: DataFrame, width: int) -> np.ndarray:
-    got = {r.part: np.frombuffer(r.sums, np.float32) for r in parts.toLocalIterator()}
+def _matrix(parts: Iterable[Row], width: int) -> np.ndarray:
+    got = {r.part: np.frombuffer(r.sums, np.float32) for r in parts}
     return np.concatenate([got[k] for k in sorted(got)]).reshape(-1, width)
 
 
-def fit_latent(docs: DataFrame, blocks: list[list[np.ndarray]], scratch: Scratch, text_col: str = "text", rank: int = RANK, fit_passages: int = FIT_PASSAGES, window: int = WINDOW, stride: int = STRIDE) -> list[Latent]:
-    """idf over all passages of ``docs``, and the latent basis of each block of items.
+def fit_latent(docs: DataFrame, blocks: list[list[np.ndarray]], scratch: Scratch, text_col: str = "text", rank: int = RANK, window: int = WINDOW, stride: int = STRIDE) -> list[Latent]:
+    """idf over all passages of ``docs``, and the latent basis of each block of items with all passages.
 
     Tasks add up their products among themselves; the driver gets the finished basis of a block, once, to broadcast it.
     """
@@ -222,24 +262,28 @@ def fit_latent(docs: DataFrame, blocks: list[list[np.ndarray]], scratch: Scratch
     df = np.zeros(1 << BITS)
     df[bucket[bucket >= 0]] = n[bucket >= 0]
     idf = smoothed_idf(df, total)
-    below = min(1 << 32, -(-(fit_passages << 32) // max(total, 1)))
-    sample = scratch.cut(texts.mapInArrow(lean(_sampled(window, stride, below)), "words array<int>").repartition(FIT_TASKS))
-    taken = sample.count()
+    dealt = texts.coalesce(max(1, total // FIT_LEAST))
     width = rank + OVERSAMPLE
-    parts = "part long, sums binary"
-    added = lambda wide: sample.mapInArrow(lean(_products(idf, width, wide)), parts).groupBy("part").applyInPandas(_add, parts)
-    first = scratch.cut(added(None))  # the same for all blocks
+    first = scratch.cut(_added(dealt, idf, width, window, stride, []).drop("own"))  # the same for all blocks
     made = []
-    for items in blocks:
-        weight = max(1.0, taken / len(items))
-        ready = first.repartition(1).mapInArrow(lean(_orthonormal(items, idf, width, weight)), parts)
-        m = _matrix(ready, width) if taken else _alone(items, idf, width)
-        wide = docs.sparkSession.sparkContext.broadcast(m)
-        own = np.zeros((width, width), np.float32)
-        _add_products(items, idf, m, True, own)
-        sums = own * np.float32(weight) + (_matrix(added(wide), width) if taken else 0)
-        _, vectors = np.linalg.eigh(sums.astype(np.float64))
-        made.append(Latent(idf, wide, vectors[:, ::-1][:, :rank].astype(np.float32)))
+    for k in range(0, len(blocks), _AT_ONCE):
+        some = blocks[k : k + _AT_ONCE]
+        wides, owns = [], []
+        for items in some:
+            weight = max(1.0, total / len(items))
+            ready = first.repartition(1).mapInArrow(lean(_orthonormal(items, idf, width, weight)), "part long, sums binary")
+            m = _matrix(ready.toLocalIterator(), width) if total else _alone(items, idf, width)
+            own = np.zeros((width, width), np.float32)
+            _add_products(items, idf, m, True, own)
+            owns.append(own * np.float32(weight))
+            wides.append(docs.sparkSession.sparkContext.broadcast(m * idf[:, None]))
+        if total:
+            sums = _added(dealt, idf, width, window, stride, wides).collect()  # a matrix of width x width for each block
+            for j in range(len(some)):
+                owns[j] = owns[j] + _matrix([r for r in sums if r.own == j], width)
+        for own, wide in zip(owns, wides, strict=True):
+            _, vectors = np.linalg.eigh(own.astype(np.float64))
+            made.append(Latent(idf, wide, vectors[:, ::-1][:, :rank].astype(np.float32)))
     return made
 
 
@@ -385,23 +429,34 @@ def _search(latent: Latent, ids: np.ndarray, items: list[np.ndarray], hashes: li
     return of
 
 
-def _cosines(basis: np.ndarray, idf: np.ndarray, q: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, stride: int) -> np.ndarray:
-    """Cosine of each passage with each item's projection. Passages overlap: every piece of ``stride`` words is summed once."""
+def _project(table: np.ndarray, idf: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, stride: int):
+    """Each passage's sum of its words' rows of ``table``, its length in the space of words, and its pieces.
+
+    Passages overlap: every piece of ``stride`` words is summed once. Pieces: first and end word of each, which of them the
+    passages have one after the other, and how many each has.
+    """
     n = -(-(hi - lo) // stride)
     piece = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
     end = np.minimum(piece + stride, np.repeat(hi, n))
     pairs, where = np.unique(piece * (stride + 1) + end - piece, return_inverse=True)
-    sums = _piece_sums(basis, b, pairs // (stride + 1), pairs // (stride + 1) + pairs % (stride + 1), stride)
-    vector = np.add.reduceat(sums[where], np.cumsum(n) - n)
-    n = hi - lo
-    flat = b[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    pair = np.repeat(np.arange(len(lo)), n) << BITS | flat
+    first, after = pairs // (stride + 1), pairs // (stride + 1) + pairs % (stride + 1)
+    sums = _piece_sums(table, b, first, after, stride)
+    vector = _segment_sums(sums, where, np.cumsum(n) - n, n)
+    size = hi - lo
+    flat = b[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    pair = np.repeat(np.arange(len(lo)), size) << BITS | flat
     pair.sort()
     edge = np.flatnonzero(np.append(True, np.diff(pair) > 0))
     tf = np.diff(np.append(edge, len(pair)))
     pair = pair[edge]
     norm = np.sqrt(np.bincount(pair >> BITS, (tf * idf[pair & (1 << BITS) - 1]) ** 2, len(lo)))
-    return vector @ q.T / np.maximum(norm, 1e-9)[:, None]
+    return vector, np.maximum(norm, 1e-9), (first, after, where, n)
+
+
+def _cosines(basis: np.ndarray, idf: np.ndarray, q: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, stride: int) -> np.ndarray:
+    """Cosine of each passage with each item's projection."""
+    vector, norm, _ = _project(basis, idf, b, lo, hi, stride)
+    return vector @ q.T / norm[:, None]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE, share: float = SHARE, exact_share: float = EXACT_SHARE, window: int = WINDOW, stride: int = STRIDE, block: int = BLOCK) -> DataFrame:
