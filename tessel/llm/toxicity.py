@@ -2,39 +2,48 @@
 
 A sentence's logit is a bias plus the weights of its words' features: the hash of the whole word and of its first 4, 5
 and 6 bytes, which carry over to words not seen before. A document is toxic if any of its sentences is:
-1 - prod(1 - p). Full-batch AdaGrad fits the weights on a bounded sample of labelled documents. Scoring a document
-scores its sentences, so the sentences that offend are known.
+1 - prod(1 - p). Full-batch AdaGrad fits the weights on all labelled documents: their words are written once, as numbers,
+and in each epoch tasks sum the slopes of their documents. Scoring a document scores its sentences, so the sentences that
+offend are known.
 
 Edge cases. Null and empty texts have no sentence and the score 0. Labels without a document, with a null, or of
 documents held out are not learned from; of several labels of a document the highest counts; a document that is there
-twice is learned from twice. Without labels of both kinds, or with an empty table, every score is below 1e-6. Ties: the
-sample takes equal hashes in the order of their ids. Rows are scored one by one, so that equal texts have equal scores.
+twice is learned from twice. Without labels of both kinds, or with an empty table, every score is below 1e-6. Sums of slopes have
+the 24 bits of a float: with other partitions the last digits may differ. Rows are scored one by one, so that equal texts
+have equal scores.
 Other columns of the input are ignored, or kept as they are by ``score_documents`` and ``reject``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessel.llm._text import LETTERS, chunks, lean, span_hash, words
+from tessel.plans.lineage import Scratch
 
 BITS = 18
 PREFIXES = (4, 5, 6)
-#: Bound of the sample of labelled documents that the weights are fitted on, for each of the two labels.
-MAX_LABELLED = 3000
-#: Bound of the features of either label's documents in that sample; the last one may go beyond it.
-MAX_BYTES = 32 << 20
 THRESHOLD = 0.7
-#: Documents whose features training holds unfolded at once.
+#: Features of fewer documents say nothing: their weight is 0.
+LEAST = 3
+#: Documents of a block where training has all of them in one process.
 BLOCK = 250
+#: Bytes of blocks that a task of the fit reads in an epoch: at least, and where there are more than ``_ADDED`` tasks, so
+#: that its sums (1 MB) are small beside them.
+LEAST_BYTES, TASK_BYTES = 8 << 20, 64 << 20
+#: Words of a block where documents come from a table; its last document may go beyond them.
+BLOCK_WORDS = 1 << 19
+#: Sums of so many tasks are added up at once.
+_ADDED = 16
 _END = np.zeros(256, bool)
 _END[[10, 33, 46, 63]] = True
 
@@ -79,81 +88,112 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = [i for i in range(hi - lo) if at[i] < at[i + 1]]
             rows = pa.array([lo + i for i in some], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(2).take(rows), pa.array([x[:, edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary()), pa.array([size[at[i] : at[i + 1]].astype(np.int32).tobytes() for i in some], pa.binary())],
-                names=["toxic", "h", "x", "sizes"],
+                [batch.column(0).take(rows), pa.array([x[:, edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary()), pa.array([size[at[i] : at[i + 1]].astype(np.int32).tobytes() for i in some], pa.binary())],
+                names=["toxic", "x", "sizes"],
             )
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES, **how) -> MilModel:
-    """Weights from at most ``max_labelled`` documents of either label, those of the least hash of their id, as far as
-    their features fill ``max_bytes``. The features are made where the texts are; one task trains; the weights come back."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
-    if held_out is not None:
-        known = known.where(~held_out)
-    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    pick = None
-    for label in (0, 1):
-        part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-        pick = part if pick is None else pick.unionByName(part)
-    # at most 2 * max_labelled rows of 12 bytes, whatever the input
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id")
-    made = rows.select("toxic", "text", F.xxhash64("id").alias("h")).mapInArrow(lean(_gather), "toxic int, h long, x binary, sizes binary")
-    before = F.sum(F.length("x")).over(Window.partitionBy("toxic").orderBy("h", "x").rowsBetween(Window.unboundedPreceding, -1))
-    made = made.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < max_bytes)
-    # one order whatever order the rows came in, so that the sums are the same
-    one = made.repartition(1).sortWithinPartitions("toxic", "h", "x").select("toxic", "x", "sizes")
-    row = one.mapInArrow(lean(_train(how)), "weights binary, bias double").first()
-    if row is None:  # nothing to learn from
-        return fit_arrays(np.zeros(0), [], [], **how)
-    return MilModel(np.frombuffer(row.weights, np.float32), row.bias)
-
-
-def _train(how: dict):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y, x, size = [], [], []
-        for batch in batches:
-            y += batch.column(0).to_pylist()
-            x += batch.column(1).to_pylist()
-            size += batch.column(2).to_pylist()
-        model = fit_arrays(np.array(y), x, size, **how)
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
-
-    return of
-
-
-def fit_arrays(toxic: np.ndarray, x: list[bytes], size: list[bytes], epochs: int = 80, rate: float = 1.0, sparse: float = 1e-4, least: int = 3, prior: float = -11.0) -> MilModel:
-    """Weights from the features and sentence sizes of labelled documents. ``sparse`` draws weights without effect to 0."""
-    y = toxic.astype(bool)
+@dataclass
+class Block:
+    """Documents as training reads them. A word is a column of ``table``, which has the features of each different word."""
+
+    toxic: np.ndarray
+    #: The document of each sentence, and how many words it has.
+    doc: np.ndarray
+    size: np.ndarray
+    word: np.ndarray
+    #: (1 + prefixes, different words); 2**BITS where a word is too short.
+    table: np.ndarray
+
+    def row(self) -> list[bytes]:
+        return [a.tobytes() for a in (self.toxic, self.doc, self.size, self.word, self.table)]
+
+
+_ROW = "toxic binary, doc binary, size binary, word binary, table binary"
+
+
+def _pack(toxic: np.ndarray, x: list[bytes], size: list[bytes]) -> Block:
+    f = np.concatenate([np.frombuffer(a, np.int32).reshape(1 + len(PREFIXES), -1) for a in x], 1)
+    f = np.where(f < 0, 1 << BITS, f)
+    word = f[0].astype(np.int64)
+    for more in f[1:]:
+        _, at, word = np.unique(word << (BITS + 1) | more, return_index=True, return_inverse=True)
+    sizes = [np.frombuffer(b, np.int32) for b in size]
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), [len(n) for n in sizes])
+    few = np.uint16 if len(at) <= 1 << 16 else np.int32
+    return Block(np.asarray(toxic, bool), doc, np.concatenate(sizes), word.astype(few), np.ascontiguousarray(f[:, at], np.int32))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a], pa.binary()) for a in _pack(np.array(toxic), x, size).row()], names=["toxic", "doc", "size", "word", "table"])
+
+    toxic, x, size, held = [], [], [], 0
+    for batch in _gather(batches):
+        toxic += batch.column(0).to_pylist()
+        x += batch.column(1).to_pylist()
+        size += batch.column(2).to_pylist()
+        held += batch.column(1).nbytes
+        if held >= BLOCK_WORDS * 4 * (1 + len(PREFIXES)):
+            yield packed()
+            toxic, x, size, held = [], [], [], 0
+    if toxic:
+        yield packed()
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            toxic, doc, size, word, table = (c[i].as_buffer() for c in batch.columns)
+            size, table = np.frombuffer(size, np.int32), np.frombuffer(table, np.int32).reshape(1 + len(PREFIXES), -1)
+            few = np.uint16 if table.shape[1] <= 1 << 16 else np.int32
+            yield Block(np.frombuffer(toxic, np.bool_), np.frombuffer(doc, np.int32), size, np.frombuffer(word, few), table)
+
+
+def _once(a: np.ndarray) -> np.ndarray:
+    """The different numbers of ``a``, in order."""
+    a = np.sort(a)
+    return a[np.append(True, np.diff(a) > 0)]
+
+
+def _frequencies(blocks: Iterator[Block]) -> np.ndarray:
+    """How many documents have each feature; after these (one place has those of words too short) documents, toxic ones, bytes."""
+    out = np.zeros((1 << BITS) + 4, np.int64)
+    for b in blocks:
+        n = b.table.shape[1]
+        pair = _once(np.repeat(b.doc.astype(np.int64), b.size) * n + b.word)
+        doc = pair // n
+        seen = _once((doc << (BITS + 1) | b.table[:, pair - doc * n]).ravel())
+        out[: (1 << BITS) + 1] += np.bincount(seen & (1 << (BITS + 1)) - 1, minlength=(1 << BITS) + 1)
+        out[-3:] += len(b.toxic), int(b.toxic.sum()), sum(len(a) for a in b.row())
+    return out
+
+
+def _slopes(blocks: Iterator[Block], w: np.ndarray, bias: float) -> np.ndarray:
+    """Sums of the loss's slopes by weight, a place for words too short, and by the bias; w ends with a 0."""
+    out = np.zeros((1 << BITS) + 2)
+    for b in blocks:
+        z = np.clip(bias + np.add.reduceat(w[b.table].sum(0)[b.word], np.cumsum(b.size) - b.size), -35, 35)
+        s = np.bincount(b.doc, np.logaddexp(0, z), len(b.toxic))
+        slope = np.where(b.toxic, -1 / np.expm1(np.clip(s, 1e-9, 50)), 1.0)
+        gz = slope[b.doc] / (1 + np.exp(-z))
+        by_word = np.bincount(b.word, np.repeat(gz, b.size), b.table.shape[1])
+        for places in b.table:
+            np.add.at(out, places, by_word)
+        out[-1] += gz.sum()
+    return out
+
+
+def _descend(df: np.ndarray, documents: int, toxic: int, slopes: Callable[[np.ndarray, float], np.ndarray], epochs: int = 80, rate: float = 1.0, sparse: float = 1e-4, prior: float = -11.0) -> MilModel:
+    """AdaGrad. ``sparse`` draws weights without effect to 0."""
     d = 1 << BITS
-    if y.all() or not y.any():
+    if not 0 < toxic < documents:
         return MilModel(np.zeros(d, np.float32), -30.0)
-    width = 1 + len(PREFIXES)
-    df = np.zeros(d, np.int32)
-    for a in x:
-        u = np.unique(np.frombuffer(a, np.int32))
-        df[u[u >= 0]] += 1
-    # blocks of documents, so that what an epoch needs at once is bounded; features of fewer than ``least`` documents
-    # say nothing and share the place d, whose weight stays 0
-    place = np.append(np.where(df >= least, np.arange(d), d), d).astype(np.int32)
-    blocks = []
-    for lo in range(0, len(y), BLOCK):
-        hi = min(lo + BLOCK, len(y))
-        sizes = [np.frombuffer(b, np.int32) for b in size[lo:hi]]
-        feat = place[np.concatenate([np.frombuffer(b, np.int32).reshape(width, -1) for b in x[lo:hi]], 1)]
-        x[lo:hi] = size[lo:hi] = [b""] * (hi - lo)
-        words_ = np.concatenate(sizes)
-        blocks.append((feat, words_, np.cumsum(words_) - words_, np.repeat(np.arange(hi - lo), [len(n) for n in sizes]), y[lo:hi]))
     w, g2, bias, b2 = np.zeros(d + 1), np.full(d + 1, 1e-8), prior, 1e-8
+    known = np.append(df >= LEAST, False)
     for _ in range(epochs):
-        g, gb = np.zeros(d + 1), 0.0
-        for feat, words_, head, doc, toxic_ in blocks:
-            z = np.clip(bias + np.add.reduceat(w[feat].sum(0), head), -35, 35)
-            s = np.bincount(doc, np.logaddexp(0, z), len(toxic_))
-            slope = np.where(toxic_, -1 / np.expm1(np.clip(s, 1e-9, 50)), 1.0)
-            gz = slope[doc] / (1 + np.exp(-z)) / len(y)
-            g += np.bincount(feat.ravel(), np.tile(np.repeat(gz, words_), width), d + 1)
-            gb += gz.sum()
-        g[d] = 0
+        sums = slopes(w, bias) / documents
+        g, gb = np.where(known, sums[: d + 1], 0), sums[-1]
         g2 += g * g
         step = rate / np.sqrt(g2)
         w -= step * g
@@ -163,6 +203,73 @@ def fit_arrays(toxic: np.ndarray, x: list[bytes], size: list[bytes], epochs: int
     return MilModel(w[:d].astype(np.float32), float(bias))
 
 
+def fit_arrays(toxic: np.ndarray, x: list[bytes], size: list[bytes], **how) -> MilModel:
+    """Weights from the features and sentence sizes of labelled documents that are all in this process."""
+    parts = [slice(k, k + BLOCK) for k in range(0, len(toxic), BLOCK)]
+    blocks = [_pack(toxic[k], x[k], size[k]) for k in parts]
+    n = _frequencies(iter(blocks))
+    return _descend(n[: 1 << BITS], int(n[-3]), int(n[-2]), lambda w, bias: _slopes(iter(blocks), w, bias), **how)
+
+
+def _sums(sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([sums.astype(np.float32).tobytes()], pa.binary())], names=["sums"])
+
+
+def _task(model: Broadcast):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _sums(_slopes(_read(batches), *model.value))
+
+    return of
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    return sum((np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for batch in batches for x in batch.column(0)), np.zeros((1 << BITS) + 2))
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield _sums(_total(batches))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = _frequencies(_read(batches))
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["place", "n"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None, **how) -> MilModel:
+    """Weights from all labelled documents whose ``id`` is not ``held_out``.
+
+    In each epoch the weights are sent to the tasks. They add their sums up among themselves until ``_ADDED`` rows are left,
+    which the driver gets: 16 MB at most.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    if held_out is not None:
+        known, rows = known.where(~held_out), rows.where(~held_out)
+    known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
+    made = rows.join(known, "id").select("toxic", "text").mapInArrow(lean(_blocks), _ROW)
+    with Scratch() as scratch:
+        blocks = scratch.cut(made)
+        counted = blocks.mapInArrow(lean(_count), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        n = np.zeros((1 << BITS) + 4, np.int64)  # as many rows at most
+        n[counted["place"].to_numpy()] = counted["n"].to_numpy()
+        df, documents, toxic, size = n[: 1 << BITS], *n[-3:].tolist()
+        tasks = max(1, min(_ADDED, size // LEAST_BYTES), size // TASK_BYTES)
+        dealt = blocks.coalesce(tasks)
+
+        def slopes(w: np.ndarray, bias: float) -> np.ndarray:
+            model = docs.sparkSession.sparkContext.broadcast((w, bias))
+            every, many = dealt.mapInArrow(_task(model), "sums binary"), tasks
+            while many > _ADDED:
+                many = -(-many // _ADDED)
+                every = every.repartition(many).mapInArrow(_add, "sums binary")
+            sums = _total(every.toArrow().to_batches())
+            model.destroy()
+            return sums
+
+        return _descend(df, documents, toxic, slopes, **how)
+
+
 def _sentences(model: MilModel, column: pa.Array) -> Iterator[tuple]:
     """(first row, end row, bytes, offsets, document scores, and of each sentence its row, first and last byte, logit)."""
     weights = np.append(model.weights, np.float32(0))  # -1 finds the 0
