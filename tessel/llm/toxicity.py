@@ -2,8 +2,8 @@
 
 A sentence's logit is a bias plus the weights of its words' features: the hash of the whole word and of its first 4, 5
 and 6 bytes, which carry over to words not seen before. A document is toxic if any of its sentences is:
-1 - prod(1 - p). Full-batch AdaGrad fits the weights on all labelled documents: their words are written once, as numbers,
-and in each epoch tasks sum the slopes of their documents. Scoring a document scores its sentences, so the sentences that
+1 - prod(1 - p). Full-batch AdaGrad fits the weights on all labelled documents: only their texts are shuffled, to meet
+their labels, their words are written once, as numbers, and in each epoch tasks sum the slopes of their documents. Scoring a document scores its sentences, so the sentences that
 offend are known.
 
 Edge cases. Null and empty texts have no sentence and the score 0. Labels without a document, with a null, or of
@@ -44,6 +44,13 @@ LEAST_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 BLOCK_WORDS = 1 << 19
 #: Sums of so many tasks are added up at once.
 _ADDED = 16
+#: Bits of the filter of labelled ids: for each id at least, and at most (2 MB for a million ids, 16 MB from 8 million on).
+ID_BITS, MOST_BITS = 16, 1 << 27
+#: Bits of a row of the filter, as ``bitmap_construct_agg`` makes it.
+_BITMAP = 1 << 15
+#: Counts of so many features beside each other are one row of a shuffle, which takes less than a row for each.
+_BESIDE = 32
+_COUNTS = [f"n{k}" for k in range(_BESIDE)]
 _END = np.zeros(256, bool)
 _END[[10, 33, 46, 63]] = True
 
@@ -157,8 +164,8 @@ def _once(a: np.ndarray) -> np.ndarray:
 
 
 def _frequencies(blocks: Iterator[Block]) -> np.ndarray:
-    """How many documents have each feature; after these (one place has those of words too short) documents, toxic ones, bytes."""
-    out = np.zeros((1 << BITS) + 4, np.int64)
+    """How many documents have each feature; after these (one place has those of words too short), at the end, documents, toxic ones, bytes."""
+    out = np.zeros((1 << BITS) + _BESIDE, np.int64)
     for b in blocks:
         n = b.table.shape[1]
         pair = _once(np.repeat(b.doc.astype(np.int64), b.size) * n + b.word)
@@ -231,9 +238,28 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = _frequencies(_read(batches))
-    at = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["place", "n"])
+    n = _frequencies(_read(batches)).reshape(-1, _BESIDE)
+    at = np.flatnonzero(n.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(x) for x in n[at].T]], names=["place", *_COUNTS])
+
+
+def _labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (id, text) without nearly all whose id is not in ``known``: a join would send their texts round, to drop them then.
+
+    A bitmap of the hashes of the known ids goes to all tasks. Ids that meet there by chance stay, so that a join must follow.
+    """
+    kind = rows.schema["id"].dataType
+    if kind != known.schema["id"].dataType or not (isinstance(kind, T.IntegralType) or kind == T.StringType()):
+        return rows  # equal ids may have different hashes
+    bits = _BITMAP
+    most = known.count() * ID_BITS
+    while bits < min(most, MOST_BITS):
+        bits *= 2
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    at = known.select(place.alias("place")).groupBy(F.shiftright("place", 15).alias("bitmap")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(_BITMAP - 1)).alias("bits"))
+    placed = rows.withColumn("place", place).withColumn("bitmap", F.shiftright("place", 15))
+    byte = F.expr(f"cast(conv(hex(substring(bits, cast(shiftright(place & {_BITMAP - 1}, 3) + 1 as int), 1)), 16, 10) as int)")
+    return placed.join(F.broadcast(at), "bitmap").where(F.getbit(byte, F.col("place").bitwiseAND(7).cast("int")) == 1).select("id", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None, **how) -> MilModel:
@@ -247,12 +273,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if held_out is not None:
         known, rows = known.where(~held_out), rows.where(~held_out)
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
-    made = rows.join(known, "id").select("toxic", "text").mapInArrow(lean(_blocks), _ROW)
     with Scratch() as scratch:
+        known = scratch.cut(known)
+        made = _labelled(rows, known).join(known, "id").select("toxic", "text").mapInArrow(lean(_blocks), _ROW)
         blocks = scratch.cut(made)
-        counted = blocks.mapInArrow(lean(_count), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-        n = np.zeros((1 << BITS) + 4, np.int64)  # as many rows at most
-        n[counted["place"].to_numpy()] = counted["n"].to_numpy()
+        counted = blocks.mapInArrow(lean(_count), ", ".join(f"{c} long" for c in ("place", *_COUNTS))).groupBy("place").agg(*[F.sum(c).alias(c) for c in _COUNTS]).toArrow()
+        n = np.zeros(((1 << BITS) // _BESIDE + 1, _BESIDE), np.int64)  # as many rows at most
+        n[counted["place"].to_numpy()] = np.stack([counted[c].to_numpy() for c in _COUNTS], 1)
+        n = n.ravel()
         df, documents, toxic, size = n[: 1 << BITS], *n[-3:].tolist()
         tasks = max(1, min(_ADDED, size // LEAST_BYTES), size // TASK_BYTES)
         dealt = blocks.coalesce(tasks)

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -34,3 +35,24 @@ def test_stage_learns_from_every_labelled_document(spark, tmp_path, monkeypatch)
     want = toxicity.fit_arrays(got["toxic"].to_numpy(), got["x"].to_pylist(), got["sizes"].to_pylist())
     made = toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
     assert abs(made.bias - want.bias) < 1e-4 and np.abs(made.weights - want.weights).max() < 1e-3
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_only_labelled_texts_are_shuffled(spark, monkeypatch, kind):
+    """20,000 texts and 400 labels: what meets the labels in a shuffled join is the labelled texts, all of them, and few others."""
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, f"w{i} x") for i in range(20_000)], "id long, text string").withColumn("id", F.col("id").cast(kind))
+    some = sorted(rng.choice(20_000, 400, replace=False).tolist())
+    labels = spark.createDataFrame([(i, i % 2) for i in [*some, 50_000]], "id long, toxic int").withColumn("id", F.col("id").cast(kind))
+    got = {int(r.id) for r in toxicity._labelled(docs, labels).collect()}
+    assert got >= set(some) and len(got) < 400 + 0.15 * 20_000
+    # ids of other types are left to the join, and a filter that is full lets all pass
+    assert toxicity._labelled(docs.withColumn("id", F.col("id").cast("int")), labels).count() == 20_000
+    monkeypatch.setattr(toxicity, "MOST_BITS", 1)
+    assert {int(r.id) for r in toxicity._labelled(docs, labels).collect()} >= set(some)
+
+    met = []
+    cut = toxicity.Scratch.cut
+    monkeypatch.setattr(toxicity.Scratch, "cut", lambda self, df: met.append(df) or cut(self, df))
+    toxicity.fit(docs, labels, id_col="id", epochs=1)
+    assert any("bitmap_construct_agg" in df._jdf.queryExecution().toString() for df in met)
