@@ -47,8 +47,10 @@ GRAM = 5
 FIT_LEAST = 50_000
 #: Sums of so many tasks are added up at once, and bases of so many blocks are used in one pass over the texts.
 _ADDED, _AT_ONCE = 32, 4
-#: Words found more often than this in one batch of passages are summed by a matrix product.
-_OFTEN = 16
+#: So many of the most frequent buckets are summed by a matrix product with their counts in the pieces.
+_OFTEN = 384
+#: Passages whose products are made at once.
+_PASSAGES = 1024
 #: Rows of a matrix that are sent as one part.
 _PART = 1024
 #: Top bits of a hash that tell the benchmark's words and runs of words from nearly all others.
@@ -78,6 +80,16 @@ def _buckets(buf, offs):
     return w, (w.hash >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _counts(b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, bucket) in one number, sorted, and how often: of at most 2**18 passages."""
+    size = hi - lo
+    pair = np.repeat(np.arange(len(lo), dtype=np.uint32) << np.uint32(BITS), size)
+    pair |= b[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())].astype(np.uint32)
+    pair.sort()
+    edge = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    return pair[edge].astype(np.int64), np.diff(np.append(edge, len(pair)))
+
+
 def _frequencies(window: int, stride: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total = np.zeros(1 << BITS, np.int64), 0
@@ -87,12 +99,9 @@ def _frequencies(window: int, stride: int):
                 if not len(b):
                     continue
                 row, lo, hi = passages(w.first, window, stride)
-                size = hi - lo
-                at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-                pair = np.repeat(np.arange(len(row)), size) << BITS | b[at]
-                pair.sort()
-                once = pair[np.append(True, np.diff(pair) > 0)]
-                df += np.bincount(once & ((1 << BITS) - 1), minlength=1 << BITS)
+                for k in range(0, len(row), _PASSAGES):
+                    pair, _ = _counts(b, lo[k : k + _PASSAGES], hi[k : k + _PASSAGES])
+                    df += np.bincount(pair & ((1 << BITS) - 1), minlength=1 << BITS)
                 total += len(row)
         full = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), pa.array(np.append(df[full], total))], names=["bucket", "n"])
@@ -157,21 +166,22 @@ def _products(idf: np.ndarray, width: int, window: int, stride: int, wides: list
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [w.value for w in wides] or [_start(width) * idf[:, None]]
-        outs = [np.zeros((width, width) if wides else (1 << BITS, width)) for _ in tables]
+        outs = [np.zeros((width, width)) if wides else np.zeros((1 << BITS, width), np.float32) for _ in tables]
+        often, many = _often(idf), _PASSAGES if wides else 8 * _PASSAGES  # rows of the large matrix are added to less often
         for batch in batches:
             for _, _, buf, offs in chunks(batch.column(0)):
                 w, b = _buckets(buf, offs)
                 if not len(b):
                     continue
                 _, lo, hi = passages(w.first, window, stride)
-                for k in range(0, len(lo), 1024):
+                for k in range(0, len(lo), many):
+                    pieces = _pieces(idf, often, b, lo[k : k + many], hi[k : k + many], stride)
                     for table, out in zip(tables, outs, strict=True):
-                        vector, norm, pieces = _project(table, idf, b, lo[k : k + 1024], hi[k : k + 1024], stride)
-                        y = (vector / norm[:, None]).astype(np.float32)
+                        y = pieces.sums(table) / pieces.norm[:, None]
                         if wides:
                             out += y.T @ y
                         else:
-                            _scatter((y / norm[:, None]).astype(np.float32), b, *pieces, out)
+                            pieces.scatter(y / pieces.norm[:, None], out)
         if not wides:
             outs[0] *= idf[:, None]
         task = TaskContext.get().partitionId() // _ADDED
@@ -182,38 +192,97 @@ def _products(idf: np.ndarray, width: int, window: int, stride: int, wides: list
     return of
 
 
-def _scatter(y: np.ndarray, b: np.ndarray, first: np.ndarray, after: np.ndarray, where: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
-    """Adds to the row of each word, once for each time that a passage has it, the passage's row of ``y``."""
-    order = np.argsort(where, kind="stable")
-    passage = np.repeat(np.arange(len(n)), n)[order]
-    head = np.searchsorted(where[order], np.arange(len(first)))
-    sums = _segment_sums(y, passage, head, np.diff(np.append(head, len(passage))))
-    size = after - first
-    flat = b[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
-    piece = np.repeat(np.arange(len(first)), size)
-    order = np.argsort(flat, kind="stable")
-    f, piece = flat[order], piece[order]
-    head = np.flatnonzero(np.append(True, np.diff(f) > 0))
-    many = np.diff(np.append(head, len(f)))
-    often = many > _OFTEN
-    rare = head[~often]
-    out[f[rare]] += _segment_sums(sums, piece, rare, many[~often])
-    if often.any():  # a product with their counts in the pieces
-        mine = np.repeat(often, many)
-        word = np.repeat(np.cumsum(often) - 1, many)[mine]
-        counts = np.bincount(word * len(first) + piece[mine], minlength=int(often.sum()) * len(first))
-        out[f[head[often]]] += counts.astype(np.float32).reshape(-1, len(first)) @ sums
-
-
-def _segment_sums(m: np.ndarray, rows: np.ndarray, head: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The sum of the rows of ``m`` that rows[head:head + n] names, for each segment; one round for each place in it."""
-    out = m[rows[head]]
-    for k in range(1, int(n.max(initial=0))):
-        more = np.flatnonzero(n > k)
-        out[more] += m[rows[head[more] + k]]
+def _often(idf: np.ndarray) -> np.ndarray:
+    """For each bucket its place among those of the least idf, or -1."""
+    place = np.full(len(idf), -1, np.int16)
+    place[np.argsort(idf, kind="stable")[:_OFTEN]] = np.arange(min(_OFTEN, len(idf)))
+    return place
+
+
+def _segment_sums(m: np.ndarray, rows: np.ndarray, head: np.ndarray, n: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """The sum of the rows of ``m`` that rows[head:head + n] names, for each segment; one round for each place in it.
+
+    They are added to ``out`` if it is there."""
+    order = np.argsort(-n, kind="stable")
+    head = head[order]
+    many = np.searchsorted(-n[order], -np.arange(int(n.max(initial=0))), "left")  # segments that have a place k
+    sums = np.zeros((len(n), m.shape[1]), np.float32)
+    got = np.empty((256, m.shape[1]), np.float32)  # stays in the cache
+    for k, some in enumerate(many):
+        at = rows[head[:some] + k]
+        for c in range(0, some, 256):
+            z = min(c + 256, some)
+            np.take(m, at[c:z], 0, got[: z - c], "clip")
+            sums[c:z] += got[: z - c]
+    if out is None:
+        out = np.empty_like(sums)
+        out[order] = sums
+    else:
+        _add_rows(out, order, sums)
     return out
 
 
+def _add_rows(out: np.ndarray, rows: np.ndarray, more: np.ndarray) -> None:
+    for c in range(0, len(rows), 256):
+        out[rows[c : c + 256]] += more[c : c + 256]
+
+
+@dataclass
+class _Pieces:
+    """Passages as runs of pieces: passages overlap, and every piece of ``stride`` words is summed once.
+
+    first, after: first and end word of each piece; where: the pieces of each passage, ``n`` of them, one after the other;
+    counts: of frequent buckets in each piece; flat, at, size: the other buckets, by piece; norm: lengths of the passages in the space of words.
+    """
+
+    where: np.ndarray
+    n: np.ndarray
+    counts: np.ndarray
+    often: np.ndarray
+    flat: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    norm: np.ndarray
+
+    def sums(self, table: np.ndarray) -> np.ndarray:
+        """Each passage's sum of its words' rows of ``table``."""
+        mine = _segment_sums(table, self.flat, self.at, self.size, self.counts @ table[self.often])
+        return _segment_sums(mine, self.where, np.cumsum(self.n) - self.n, self.n)
+
+    def scatter(self, y: np.ndarray, out: np.ndarray) -> None:
+        """Adds to the row of each bucket, once for each time that a passage has it, the passage's row of ``y``."""
+        order = np.argsort(self.where, kind="stable")
+        passage = np.repeat(np.arange(len(self.n)), self.n)[order]
+        head = np.searchsorted(self.where[order], np.arange(len(self.size)))
+        sums = _segment_sums(y, passage, head, np.diff(np.append(head, len(passage))))
+        out[self.often] += self.counts.T @ sums
+        if len(self.flat):
+            order = np.argsort(self.flat, kind="stable")
+            f, piece = self.flat[order], np.repeat(np.arange(len(self.size)), self.size)[order]
+            head = np.flatnonzero(np.append(True, np.diff(f) != 0))
+            _add_rows(out, f[head], _segment_sums(sums, piece, head, np.diff(np.append(head, len(f)))))
+
+
+def _pieces(idf: np.ndarray, often: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, stride: int) -> _Pieces:
+    n = -(-(hi - lo) // stride)
+    piece = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
+    end = np.minimum(piece + stride, np.repeat(hi, n))
+    pairs, where = np.unique(piece * (stride + 1) + end - piece, return_inverse=True)
+    first, size = pairs // (stride + 1), pairs % (stride + 1)
+    flat = b[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    of = np.repeat(np.arange(len(size)), size)
+    place = often[flat]
+    known = place >= 0
+    k = int(often.max()) + 1
+    counts = np.bincount(of[known] * k + place[known], minlength=len(size) * k).astype(np.float32).reshape(-1, k)
+    rest = np.bincount(of[~known], minlength=len(size))
+    pair, tf = _counts(b, lo, hi)
+    norm = np.sqrt(np.bincount(pair >> BITS, (tf * idf[pair & (1 << BITS) - 1]) ** 2, len(lo)))
+    by_place = np.empty(k, np.int64)
+    by_place[often[often >= 0]] = np.flatnonzero(often >= 0)
+    return _Pieces(where, n, counts, by_place, flat[~known].astype(np.uint16), np.cumsum(rest) - rest, rest, np.maximum(norm, 1e-9).astype(np.float32))
+
+
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     """The sum of a part's matrices, one from each task or group of tasks."""
     total = sum((np.frombuffer(x, np.float32).astype(np.float64) for x in sorted(pdf["sums"])), np.zeros(1))
@@ -340,18 +409,6 @@ class Runs:
         return np.concatenate(places), np.concatenate(items)
 
 
-def _piece_sums(table: np.ndarray, flat: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: int) -> np.ndarray:
-    """The sum of the table's rows over flat[lo:hi] of each piece; most pieces have ``size`` words."""
-    out = np.zeros((len(lo), table.shape[1]), np.float32)
-    full = np.flatnonzero(hi - lo == size)
-    for k in range(0, len(full), 512):
-        p = full[k : k + 512]
-        out[p] = table[flat[lo[p][:, None] + np.arange(size)]].sum(1)
-    for i in np.flatnonzero(hi - lo != size):
-        out[i] = table[flat[lo[i] : hi[i]]].sum(0)
-    return out
-
-
 def _search(latent: Latent, ids: np.ndarray, items: list[np.ndarray], hashes: list[np.ndarray], window: int, stride: int, cosine: float, share: float, exact_share: float):
     unit = lambda a: a / np.maximum(np.sqrt((a * a).sum(1, keepdims=True)), 1e-12)
     size = np.array([len(x) for x in items], np.int64)
@@ -368,6 +425,7 @@ def _search(latent: Latent, ids: np.ndarray, items: list[np.ndarray], hashes: li
         ours[(mine >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         tables = runs.tables()
         basis = latent.basis if len(items) else None
+        often = _often(latent.idf)
         q = unit(np.add.reduceat(basis[np.concatenate(items)], at[:-1])) if len(items) else None
         for batch in batches:
             best: dict = {}
@@ -391,7 +449,8 @@ def _search(latent: Latent, ids: np.ndarray, items: list[np.ndarray], hashes: li
                 found = []
                 for k in range(0, len(row), 1024):
                     p = np.arange(k, min(k + 1024, len(row)))
-                    sim = _cosines(basis, idf, q, b, lo[p], hi[p], stride)
+                    pieces = _pieces(idf, often, b, lo[p], hi[p], stride)
+                    sim = pieces.sums(basis) @ q.T / pieces.norm[:, None]
                     near = sim >= cosine
                     i = slice(*np.searchsorted(shared, (k * len(items), (k + 1024) * len(items))))
                     near.ravel()[shared[i] - k * len(items)] = True
@@ -429,36 +488,6 @@ def _search(latent: Latent, ids: np.ndarray, items: list[np.ndarray], hashes: li
     return of
 
 
-def _project(table: np.ndarray, idf: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, stride: int):
-    """Each passage's sum of its words' rows of ``table``, its length in the space of words, and its pieces.
-
-    Passages overlap: every piece of ``stride`` words is summed once. Pieces: first and end word of each, which of them the
-    passages have one after the other, and how many each has.
-    """
-    n = -(-(hi - lo) // stride)
-    piece = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
-    end = np.minimum(piece + stride, np.repeat(hi, n))
-    pairs, where = np.unique(piece * (stride + 1) + end - piece, return_inverse=True)
-    first, after = pairs // (stride + 1), pairs // (stride + 1) + pairs % (stride + 1)
-    sums = _piece_sums(table, b, first, after, stride)
-    vector = _segment_sums(sums, where, np.cumsum(n) - n, n)
-    size = hi - lo
-    flat = b[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
-    pair = np.repeat(np.arange(len(lo)), size) << BITS | flat
-    pair.sort()
-    edge = np.flatnonzero(np.append(True, np.diff(pair) > 0))
-    tf = np.diff(np.append(edge, len(pair)))
-    pair = pair[edge]
-    norm = np.sqrt(np.bincount(pair >> BITS, (tf * idf[pair & (1 << BITS) - 1]) ** 2, len(lo)))
-    return vector, np.maximum(norm, 1e-9), (first, after, where, n)
-
-
-def _cosines(basis: np.ndarray, idf: np.ndarray, q: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, stride: int) -> np.ndarray:
-    """Cosine of each passage with each item's projection."""
-    vector, norm, _ = _project(basis, idf, b, lo, hi, stride)
-    return vector @ q.T / norm[:, None]
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE, share: float = SHARE, exact_share: float = EXACT_SHARE, window: int = WINDOW, stride: int = STRIDE, block: int = BLOCK) -> DataFrame:
     """(id, item_id, start, cosine, lcs, answer) for each document and benchmark item that is found in it.
 

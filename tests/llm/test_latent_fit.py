@@ -32,3 +32,25 @@ def test_basis_comes_from_all_passages(spark):
     assert np.abs(made.idf[places] - idf).max() < 1e-5
     apart = np.abs(got[places] @ got[places].T - want @ want.T).max()
     assert apart < 2e-4, apart
+
+
+def test_pieces_give_the_products_of_whole_passages(monkeypatch):
+    """Sums over pieces, frequent buckets by a matrix product, are those of each passage's own words: short, long and cut ones."""
+    monkeypatch.setattr(D, "_OFTEN", 7)
+    rng = np.random.default_rng(8)
+    size = np.array([0, 1, 3, 8, 9, 12, 13, 700, 0, 5])
+    b = np.minimum(rng.geometric(0.02, size.sum()) - 1, (1 << D.BITS) - 1)
+    _, lo, hi = D.passages(np.append(0, np.cumsum(size)), 8, 4)
+    idf = D.smoothed_idf(np.bincount(b, minlength=1 << D.BITS), len(lo))
+    counts = np.zeros((len(lo), 1 << D.BITS))
+    for i in range(len(lo)):
+        np.add.at(counts[i], b[lo[i] : hi[i]], 1)
+    table = rng.standard_normal((1 << D.BITS, 6)).astype(np.float32)
+    pieces = D._pieces(idf, D._often(idf), b, lo, hi, 4)
+    assert np.abs(pieces.norm - np.linalg.norm(counts * idf, axis=1)).max() < 1e-3
+    assert np.abs(pieces.sums(table) - counts @ table).max() < 1e-4
+    y, out = rng.standard_normal((len(lo), 6)).astype(np.float32), np.zeros((1 << D.BITS, 6), np.float32)
+    pieces.scatter(y, out)
+    assert np.abs(out - counts.T @ y).max() < 1e-4
+    pair, n = D._counts(b, lo, hi)
+    assert (n == counts[pair >> D.BITS, pair & ((1 << D.BITS) - 1)]).all() and len(n) == (counts > 0).sum()
