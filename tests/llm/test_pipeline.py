@@ -93,3 +93,20 @@ def test_odd_rows_and_clashing_names_through_all_stages(spark, odd, kind, tmp_pa
             assert ids.count(0) == 1 and ids.count(None) == 2 and {8, 9, 10, 11} <= set(ids) and 12 not in ids
     if kind == "rows":
         assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(got)
+
+
+def test_near_duplicate_stage_does_not_shuffle_texts(spark):
+    """Few of many documents go: their ids are broadcast, though the table of all that was found is beyond the threshold."""
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(8))) for i in range(3000)] + [(5000, " ".join(f"w7x{k}" for k in range(8)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r.doc_id for r in out.select("doc_id").collect()} == set(range(3000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
